@@ -96,54 +96,63 @@ def check_rows(rows: DataFrame, line: str, layout: str, layouts: list[Layout]) -
     Scale: a map without any shuffle, in the JVM, linear in the text.
     """
     rows = rows.drop(*[c for c in ("reason", "broken_field", "fields") if c in rows.columns])
-    text = F.regexp_replace(F.col(line), r"\r?\n?\z", "")
-    kind = F.lower(F.trim(F.col(layout)))
-    unknown = F.lit("column_count")
-    reason, broken = unknown, F.lit(None).cast("int")
     for spec in layouts:
-        count = _separators(F.col("_text")) + 1
-        ahead = F.regexp_extract(F.col("_text"), spec.prefix(), 0)
-        first = _separators(ahead) + 1
-        by_field = F.element_at(F.array(*[F.lit(KINDS[spec.kind(i)][1]) for i in range(spec.width)]), F.least(first, F.lit(spec.width)))
         numbers = [i for i, k in spec.kinds.items() if k.startswith("npi")]
-        sound = F.lit(True)
-        for i in numbers:
-            skip = rf"\A(?:{FIELD},){{{i}}}"
-            value = F.trim(F.regexp_extract(F.col("_text"), rf'{skip}"?\s*+([0-9]{{10}})', 1))
-            free = (value == "") | (value == "0000000000") if spec.kinds[i] == "npi_or_none" else F.lit(False)
-            sound = sound & (free | npi_check(value))
-        bad_place = F.lit(numbers[0] + 1 if numbers else None).cast("int")
-        # checked fields after a wrong check digit don't matter, those before it do
-        earlier = [i for i in spec.kinds if numbers and i < numbers[0]]
-        assert not earlier, "a layout's number must come before its other checked fields"
-        prefix_ok = F.col("_text").rlike(r"\A" + "".join(c + r"(?:,|\z)" for c in spec.cells()[: (numbers[0] + 1 if numbers else 0)]))
-        this_reason = (
-            F.when(F.col("_whole") & sound, F.lit(None).cast("string"))
+        assert len(numbers) < 2 and numbers[:1] == sorted(spec.kinds)[: len(numbers)], "a layout has one number at most, before its other checked fields"
+
+    def by_layout(value, default: Column) -> Column:
+        out = default
+        for spec in layouts:
+            out = F.when(F.col("_kind") == spec.name, value(spec)).otherwise(out)
+        return out
+
+    number = lambda spec: next((i for i, k in spec.kinds.items() if k.startswith("npi")), None)
+    no, none, text = F.lit(False), F.lit(None).cast("int"), F.col("_text")
+    # Separate projections: each pattern and the check digit appear once in the plan.
+    judged = rows.withColumns({"_text": F.regexp_replace(F.col(line), r"\r?\n?\z", ""), "_kind": F.lower(F.trim(F.col(layout)))})
+    judged = judged.withColumns(
+        {
+            "_whole": F.coalesce(by_layout(lambda s: text.rlike(s.whole()), no), no),
+            "_number": by_layout(
+                lambda s: F.lit(None).cast("string") if number(s) is None
+                else F.regexp_extract(text, rf'\A(?:{FIELD},){{{number(s)}}}"?\s*+([0-9]{{10}})\s*+"?(?:,|\z)', 1),
+                F.lit(None).cast("string"),
+            ),
+            "_width": by_layout(lambda s: F.lit(s.width), none),
+        }
+    )
+    free = by_layout(lambda s: F.col("_number").isin("", "0000000000") if s.kinds.get(number(s)) == "npi_or_none" else no, no)
+    judged = judged.withColumns({"_sound": F.col("_number").isNull() | free | npi_check(F.col("_number"))})
+    fails = ~(F.col("_whole") & F.col("_sound"))
+    judged = judged.withColumns(
+        {
+            "_row": F.when(fails, F.coalesce(text.rlike(ROW), no)),
+            "_count": F.when(fails, _separators(text) + 1),
+            "_ahead": F.when(fails, by_layout(lambda s: F.regexp_extract(text, s.prefix(), 0), F.lit(None).cast("string"))),
+            "_plain": F.when(fails, F.regexp_extract(text, rf"\A(?:{FIELD},)*+", 0)),
+        }
+    )
+    judged = judged.withColumns({"_first": _separators(F.col("_ahead")) + 1, "_cut": _separators(F.col("_plain")) + 1})
+    place = by_layout(lambda s: none if number(s) is None else F.lit(number(s) + 1), none)
+    # a wrong check digit breaks the number's field even where its digits fit the pattern
+    judged = judged.withColumns({"_first": F.when(~F.col("_sound") & (F.col("_number") != ""), F.least(place, "_first")).otherwise(F.col("_first"))})
+    reasons = by_layout(lambda s: F.element_at(F.array(*[F.lit(KINDS[s.kind(i)][1]) for i in range(s.width)]), F.least("_first", F.lit(s.width))), F.lit(None).cast("string"))
+    judged = judged.withColumns(
+        {
+            "reason": F.when(text.isNull() | F.col("_width").isNull(), F.lit("column_count"))
+            .when(F.col("_row").isNull(), F.lit(None).cast("string"))
             .when(~F.col("_row"), F.lit("quoting"))
-            .when(count != spec.width, F.lit("column_count"))
-            .when(prefix_ok & ~sound, F.lit("bad_npi"))
-            .otherwise(by_field)
-        )
-        this_broken = (
-            F.when(F.col("_whole") & sound, F.lit(None).cast("int"))
-            .when(~F.col("_row"), _separators(F.regexp_extract(F.col("_text"), rf"\A(?:{FIELD},)*+", 0)) + 1)
-            .when(count != spec.width, F.least(count, F.lit(spec.width)) + 1)
-            .when(prefix_ok & ~sound, bad_place)
-            .otherwise(first)
-        )
-        here = F.col("_kind") == spec.name
-        reason = F.when(here, this_reason).otherwise(reason)
-        broken = F.when(here, this_broken).otherwise(broken)
-    whole = F.lit(False)
-    for spec in layouts:
-        whole = F.when(F.col("_kind") == spec.name, F.col("_text").rlike(spec.whole())).otherwise(whole)
-    judged = (
-        rows.withColumns({"_text": text, "_kind": kind})
-        .withColumns({"_whole": F.coalesce(whole, F.lit(False))})
-        .withColumns({"_row": F.col("_whole") | F.coalesce(F.col("_text").rlike(ROW), F.lit(False))})
-        .withColumns({"reason": F.when(F.col("_text").isNull(), unknown).otherwise(reason), "broken_field": broken})
+            .when(F.col("_count") != F.col("_width"), F.lit("column_count"))
+            .otherwise(reasons),
+            "broken_field": F.when(text.isNull() | F.col("_width").isNull() | F.col("_row").isNull(), none)
+            .when(~F.col("_row"), F.col("_cut"))
+            .when(F.col("_count") != F.col("_width"), F.least("_count", "_width") + 1)
+            .otherwise(F.col("_first")),
+        }
     )
-    return judged.withColumn("fields", F.when(F.col("reason").isNull(), _fields(F.col("_text")))).drop("_text", "_kind", "_whole", "_row")
+    fields = F.when(F.col("reason").isNull(), _fields(text))
+    # inline() keeps a filter on the results from being pushed below, which would copy the whole chain into it
+    return judged.select(*rows.columns, F.inline(F.array(F.struct("reason", "broken_field", fields.alias("fields")))))
 
 
 def split_rows(rows: DataFrame, line: str, layout: str, layouts: list[Layout]) -> tuple[DataFrame, DataFrame]:
