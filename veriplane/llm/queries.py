@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veriplane.llm.groups import link_groups
+from veriplane.llm.leaks import find_leaks
+from veriplane.llm.packing import pack_documents
+from veriplane.llm.spans import SharedSpans
 from veriplane.llm.survivors import judged_values, surviving_fields
 from veriplane.runtime import table
 
@@ -23,6 +26,35 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     return judged_values(table(spark, folder, "entity_records"), table(spark, folder, "sources"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_values": p4_values}
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of one above the capacity, with its container of 2,048 tokens."""
+    return pack_documents(table(spark, folder, "documents"), 2048)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.where("run_words >= 12").select("doc_id", "item_id")
+
+
+def p9_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with most of an item in its order, however reworded in between, and how much of its answer part."""
+    leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.where("lcs_share >= 0.6 and answer_share >= 0.5")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return SharedSpans(table(spark, folder, "documents")).pairs()
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document the characters that also occur, in spans of 400 or more, elsewhere."""
+    documents = table(spark, folder, "documents")
+    return SharedSpans(documents).shares(documents)
+
+
+QUERIES = {
+    "p1_found": p1_found, "p4_found": p4_found, "p4_values": p4_values, "p8_containers": p8_containers,
+    "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_shares": p10_shares,
+}
 
 SQL: dict[str, str] = {}
