@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veriplane.llm.addresses import locate, same_places
 from veriplane.llm.groups import link_groups
 from veriplane.llm.leaks import find_leaks
 from veriplane.llm.packing import pack_documents
@@ -17,6 +18,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return link_groups(t("link_candidates"), t("decisions"), t("entities"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_places(table(spark, folder, "address_claims"), table(spark, folder, "entities"))
+
+
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The building or postal box of every address record."""
+    return locate(table(spark, folder, "address_claims"), table(spark, folder, "entities"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_fields(table(spark, folder, "entity_records"), table(spark, folder, "sources"))
 
@@ -53,7 +63,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p4_found": p4_found, "p4_values": p4_values, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p3_found": p3_found, "p3_places": p3_places, "p4_found": p4_found, "p4_values": p4_values, "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_shares": p10_shares,
 }
 
