@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veriplane.llm.addresses import locate, same_places
+from veriplane.llm.crossmatch import match_parties
 from veriplane.llm.groups import link_groups
 from veriplane.llm.leaks import find_leaks
 from veriplane.llm.packing import pack_documents
@@ -36,6 +37,15 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     return judged_values(table(spark, folder, "entity_records"), table(spark, folder, "sources"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_matches(spark, folder).select("owner_pac_id", "row_id")
+
+
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Owners who are excluded parties, with the confidence of each match."""
+    return match_parties(table(spark, folder, "owners"), table(spark, folder, "exclusions"))
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every text, or piece of one above the capacity, with its container of 2,048 tokens."""
     return pack_documents(table(spark, folder, "documents"), 2048)
@@ -63,7 +73,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p3_found": p3_found, "p3_places": p3_places, "p4_found": p4_found, "p4_values": p4_values, "p8_containers": p8_containers,
+    "p1_found": p1_found, "p3_found": p3_found, "p3_places": p3_places, "p4_found": p4_found, "p4_values": p4_values, "p6_found": p6_found, "p6_matches": p6_matches, "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_shares": p10_shares,
 }
 
