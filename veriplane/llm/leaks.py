@@ -161,16 +161,18 @@ class LatentSpace:
                     part = multiply(rows, right, 1.0)
                     total, n = part if total is None else total + part, n + len(rows)
                 if n:
-                    yield pd.DataFrame({"n": [n], "part": [total.tobytes()]})
+                    touched = np.flatnonzero(total.any(axis=1))
+                    yield pd.DataFrame({"n": [n], "touched": [touched.astype(np.int64).tobytes()], "part": [total[touched].tobytes()]})
 
             sums, passages = np.zeros_like(probe), 0
-            for row in drawn.mapInPandas(partial, "n long, part binary").toLocalIterator():
-                sums += np.frombuffer(row["part"], dtype=np.float32).reshape(probe.shape)
+            for row in drawn.mapInPandas(partial, "n long, touched binary, part binary").toLocalIterator():
+                touched = np.frombuffer(row["touched"], dtype=np.int64)
+                sums[touched] += np.frombuffer(row["part"], dtype=np.float32).reshape(len(touched), -1)
                 passages += row["n"]
             # the evaluation side has four times the weight of the corpus side
             sums += multiply(evaluation, probe, 4.0 * max(1, passages) / max(1, len(evaluation)))
             probe = np.linalg.qr(sums)[0].astype(np.float32)
-            shared.unpersist()
+            shared.destroy()
         return cls(idf, np.ascontiguousarray(probe[:, :rank]))
 
 
@@ -191,9 +193,9 @@ def find_leaks(
     documents: DataFrame,
     items: DataFrame,
     least_words: int = 12,
-    similarity: float = 0.35,
-    rank: int = 96,
-    buckets: int = 1 << 16,
+    similarity: float = 0.3,
+    rank: int = 64,
+    buckets: int = 1 << 15,
     sample_documents: int = 2000,
     block_items: int = 2000,
 ) -> DataFrame:
