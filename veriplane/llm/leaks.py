@@ -175,6 +175,41 @@ class LatentSpace:
             shared.destroy()
         return cls(idf, np.ascontiguousarray(probe[:, :rank]))
 
+    def completed(self, windows: list[list[int]]) -> LatentSpace:
+        """This space with the directions that ``windows`` need."""
+        ids = [np.asarray(w, dtype=np.int64) for w in windows if len(w)]
+        return LatentSpace(self.idf, np.ascontiguousarray(_completed(self.basis, self.idf, ids)))
+
+
+def _completed(basis: np.ndarray, idf: np.ndarray, windows: list[np.ndarray], keep: float = 0.85) -> np.ndarray:
+    """``basis`` with as many more directions as it takes for every window to keep ``keep`` of its length in the space.
+
+    They are the leading singular directions of what the windows lose. Without them the windows
+    of a varied query set would fall outside the space, and be found by nothing.
+    """
+    if not windows:
+        return basis
+    terms = np.unique(np.concatenate(windows))
+    dense = np.zeros((len(windows), len(terms)), dtype=np.float32)
+    for n, w in enumerate(windows):
+        ids, tf = np.unique(w, return_counts=True)
+        dense[n, np.searchsorted(terms, ids)] = tf * idf[ids]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True) + 1e-9
+    inside = basis[terms]
+    for _ in range(8):
+        lost = dense - (dense @ inside) @ inside.T
+        short = (dense * lost).sum(axis=1) > 1 - keep**2
+        if not short.any():
+            break
+        _, sizes, directions = np.linalg.svd(lost[short], full_matrices=False)
+        need = int(np.searchsorted(np.cumsum(sizes**2) / np.sum(sizes**2), keep**2)) + 1
+        more = np.zeros((len(basis), need), dtype=np.float32)
+        more[terms] = directions[:need].T
+        more -= basis @ (basis.T @ more)
+        basis = np.hstack([basis, np.linalg.qr(more)[0].astype(np.float32)])
+        inside = basis[terms]
+    return basis
+
 
 def item_windows(items: list[tuple], buckets: int, window: int, stride: int) -> tuple[list[list[int]], list[int]]:
     """Windows of bucket ids of the items and, for each, the index of its item."""
@@ -197,14 +232,15 @@ def find_leaks(
     rank: int = 64,
     buckets: int = 1 << 15,
     sample_documents: int = 2000,
-    block_items: int = 2000,
+    block_items: int = 500,
 ) -> DataFrame:
     """``(doc_id, item_id, cosine, run_words, lcs_share, answer_share)`` for documents near an item.
 
     Documents are cut into passages of two blocks of ``least_words`` words, overlapping by one, so
     that any run of ``least_words`` words lies whole in a passage. Passages and windows of the
     items are compared by cosine in the latent space (see ``LatentSpace``), divided by the
-    norms in the full space; a pair with ``similarity`` or more is a candidate. Around its
+    norms in the full space; the space has ``rank`` latent directions, and those that it takes
+    for every window of the items to keep 0.85 of its length. A pair with ``similarity`` or more is a candidate. Around its
     candidate passages the document is then compared exactly: ``run_words`` is the longest
     run of consecutive words it shares with the item, ``lcs_share`` the longest common
     subsequence as a share of the item's words, and ``answer_share`` that of the words
@@ -234,7 +270,7 @@ def find_leaks(
             continue
         if space is None:
             space = LatentSpace.fit(docs, windows, buckets, rank, 2 * least_words, sample_documents)
-        found = found.unionByName(_search(docs, rows, windows, whose, space, least_words, similarity, schema))
+        found = found.unionByName(_search(docs, rows, windows, whose, space.completed(windows), least_words, similarity, schema))
     best = [F.max(c).alias(c) for c in ("cosine", "run_words", "lcs_share", "answer_share")]
     return found.groupBy("doc_id", "item_id").agg(*best)
 

@@ -170,14 +170,17 @@ class SharedSpans:
         )
 
     def classes(self) -> DataFrame:
-        """One row per anchor and surroundings: its text, and whether several documents have it."""
+        """One row per anchor and surroundings: its text, and the first and last document that has it."""
         return self.seeds.groupBy("h", "cls").agg(
             F.min("left").alias("left"), F.min("seed").alias("seed"), F.min("right").alias("right"),
-            (F.min("doc_id") != F.max("doc_id")).alias("plural"),
+            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
         )
 
     def class_pairs(self) -> DataFrame:
-        """``(h, cls_a, cls_b, before, after)``: classes whose anchors extend to a long enough common span, and by how much."""
+        """``(h, cls_a, cls_b, before, after)``: classes whose anchors extend to a long enough common span, and by how much.
+
+        Also the first and last document of each. The places of both may all lie in one document.
+        """
         classes = stored(self.classes().withColumn("back", F.reverse("left")), "classes")
         need = self.side - self.step
         keys = [
@@ -199,14 +202,14 @@ class SharedSpans:
             .select("h", "cls_a", "cls_b")
             .distinct()
         )
-        side = lambda s: classes.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "back", "seed", "right")])
+        side = lambda s: classes.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "back", "seed", "right", "lo", "hi")])
         both = pairs.join(side("a"), ["h", "cls_a"]).join(side("b"), ["h", "cls_b"]).where("seed_a = seed_b")
         return both.select(
-            "h", "cls_a", "cls_b", _common_start("back_a", "back_b").alias("before"), _common_start("right_a", "right_b").alias("after")
+            "h", "cls_a", "cls_b", "lo_a", "hi_a", "lo_b", "hi_b", _common_start("back_a", "back_b").alias("before"), _common_start("right_a", "right_b").alias("after")
         ).where(F.col("before") + F.col("after") >= self.side)
 
     def _within(self) -> DataFrame:
-        return self.classes().where(F.col("plural") & (F.length("left") + F.length("right") >= self.side)).select("h", "cls")
+        return self.classes().where((F.col("lo") != F.col("hi")) & (F.length("left") + F.length("right") >= self.side)).select("h", "cls")
 
     def pairs(self) -> DataFrame:
         """Distinct ``(doc_a, doc_b)``, doc_a < doc_b, that share a long enough span."""
@@ -221,11 +224,12 @@ class SharedSpans:
         """``(doc_id, start, stop)``: the maximal stretches of each document made up of shared spans, not overlapping."""
         k = F.lit(self.k)
         pairs = stored(self.class_pairs(), "class-pairs")
-        reach = lambda s: pairs.select("h", F.col(f"cls_{s}").alias("cls"), "before", "after")
-        within = self._within().join(self.classes().select("h", "cls", F.length("left").alias("before"), F.length("right").alias("after")), ["h", "cls"])
-        reaches = reach("a").unionByName(reach("b")).unionByName(within).distinct()
+        reach = lambda s, o: pairs.select("h", F.col(f"cls_{s}").alias("cls"), "before", "after", F.col(f"lo_{o}").alias("lo"), F.col(f"hi_{o}").alias("hi"))
+        within = self._within().join(self.classes().select("h", "cls", F.length("left").alias("before"), F.length("right").alias("after"), "lo", "hi"), ["h", "cls"])
+        reaches = reach("a", "b").unionByName(reach("b", "a")).unionByName(within).distinct()
         spans = self.seeds.select("h", "cls", "doc_id", "pos").join(reaches, ["h", "cls"])
-        # a pair of classes may consist of places of one document only
+        # the other side must have a document besides this one
+        spans = spans.where((F.col("lo") != F.col("doc_id")) | (F.col("hi") != F.col("doc_id")))
         shared = spans.select("doc_id", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + k + F.col("after")).alias("stop")).distinct()
         order = Window.partitionBy("doc_id").orderBy("start", "stop")
         fresh = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))

@@ -18,12 +18,12 @@ FILLER_WORDS = (
 def usable_name(raw: Column) -> Column:
     """The name in upper case with single blanks, or null if it names nobody.
 
-    No letters at all, one letter repeated, or nothing but filler words name nobody.
+    No letters at all, one letter alone or repeated, or nothing but filler words name nobody.
     """
     words = F.trim(F.regexp_replace(F.upper(raw), r"[^\p{L}\p{N}]+", " "))
     tokens = F.split(words, " ")
     filler = F.forall(tokens, lambda t: t.isin(*FILLER_WORDS) | t.rlike(r"^[0-9]+$"))
-    repeated = words.rlike(r"^(\p{L})(?:\s*\1)*$")
+    repeated = words.rlike(r"^(\p{L})(?:\s*+\1)*+$")
     return F.when(words.rlike(r"\p{L}") & ~filler & ~repeated, words)
 
 
