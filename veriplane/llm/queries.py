@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veriplane.functions.codes import STATE_NAMES
 from veriplane.llm.addresses import locate, same_places
 from veriplane.llm.crossmatch import match_parties
 from veriplane.llm.groups import link_groups
 from veriplane.llm.leaks import find_leaks
 from veriplane.llm.packing import pack_documents
 from veriplane.llm.spans import SharedSpans
-from veriplane.llm.survivors import judged_values, surviving_fields
+from veriplane.llm.survivors import FILLER_WORDS, judged_values, surviving_fields
 from veriplane.runtime import table
 
 
@@ -77,4 +78,54 @@ QUERIES = {
     "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_shares": p10_shares,
 }
 
-SQL: dict[str, str] = {}
+_FILLERS = ", ".join(f"'{w}'" for w in FILLER_WORDS)
+_STATES = ", ".join(f"'{c}'" for c in STATE_NAMES)
+_NPI_OK = """(regexp_full_match(trim(x), '[0-9]{10}') AND (24 + list_sum(list_transform(generate_series(1, 10), lambda i:
+    CASE WHEN i % 2 = 1 THEN (2 * ord(substr(trim(x), i, 1)) - 96) // 10 + (2 * ord(substr(trim(x), i, 1)) - 96) % 10
+         ELSE ord(substr(trim(x), i, 1)) - 48 END))) % 10 = 0)"""
+_GRAMS = "list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))"
+
+#: Where no SQL is given: p3 and p6 (readings of free text), p8 (a packing) and the probabilities of p4_values and
+#: measures of p9_paraphrases are held against brute force or by their properties in the tests.
+SQL = {
+    "p1_found": """
+        WITH RECURSIVE verdicts AS (
+          SELECT u, v, arg_max(verdict, struct_pack(t := t, p := log_pos)) AS verdict FROM (
+            SELECT least(entity_a, entity_b) AS u, greatest(entity_a, entity_b) AS v, try_cast(decided_at AS TIMESTAMPTZ) AS t, log_pos,
+                   coalesce(lower(trim(decision)), '') AS verdict
+            FROM decisions WHERE entity_a <> entity_b) GROUP BY 1, 2),
+        scored AS (SELECT least(entity_a, entity_b) AS u, greatest(entity_a, entity_b) AS v, max(confidence) AS c
+                   FROM link_candidates WHERE entity_a <> entity_b GROUP BY 1, 2),
+        links AS (SELECT u, v FROM scored FULL JOIN verdicts USING (u, v)
+                  WHERE (coalesce(verdict, '') = 'confirm' OR (coalesce(verdict, '') NOT IN ('confirm', 'reject') AND c >= 0.9))
+                    AND u IN (SELECT entity_id FROM entities) AND v IN (SELECT entity_id FROM entities)),
+        ends AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach AS (SELECT u AS id, u AS r FROM ends UNION SELECT reach.id, ends.v FROM reach JOIN ends ON reach.r = ends.u)
+        SELECT id AS entity_id, min(r) AS group_id FROM reach GROUP BY 1""",
+    "p4_found": f"""
+        WITH rec AS (
+          SELECT *, trim(upper(regexp_replace(canonical_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS words FROM entity_records
+          WHERE group_id IS NOT NULL AND record_id IS NOT NULL),
+        usable AS (
+          SELECT group_id, record_id, source_id, observed_at, unnest([
+            CASE WHEN regexp_matches(words, '\\p{{L}}') AND replace(replace(words, ' ', ''), left(words, 1), '') <> ''
+                  AND NOT list_bool_and(list_transform(string_split(words, ' '), lambda t: t IN ({_FILLERS}) OR regexp_full_match(t, '[0-9]+'))) THEN 'canonical_name' END,
+            CASE WHEN upper(regexp_replace(canonical_state, '[ ]+', '', 'g')) IN ({_STATES}) THEN 'canonical_state' END,
+            CASE WHEN len(list_filter(npis, lambda x: {_NPI_OK})) > 0 THEN 'npis' END]) AS field_name FROM rec),
+        plural AS (SELECT group_id FROM rec GROUP BY 1 HAVING count(DISTINCT record_id) > 1)
+        SELECT group_id, field_name, record_id FROM (
+          SELECT u.*, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank NULLS LAST, observed_at DESC NULLS LAST, record_id) AS rn
+          FROM usable u LEFT JOIN sources s USING (source_id) WHERE field_name IS NOT NULL AND group_id IN (SELECT group_id FROM plural)) WHERE rn = 1""",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+        q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 12),
+        qg AS (SELECT item_id, unnest({_GRAMS}) AS g FROM q WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN qg USING (g)""",
+    "p10_found": """
+        WITH places AS (SELECT doc_id, text, unnest(generate_series(1, length(text) - 399)) AS i FROM documents WHERE length(text) >= 400),
+        grams AS (SELECT DISTINCT doc_id, md5_number(substr(text, i, 400)) AS g FROM places),
+        busy AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+        kept AS (SELECT * FROM grams WHERE g IN (SELECT g FROM busy))
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id""",
+}
