@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriplane.functions.names import normalize_name
+from veriplane.operators.places import first_values
 
 
 def correlate(entities: DataFrame, owners: DataFrame, sample: int = 12) -> DataFrame:
@@ -21,6 +22,8 @@ def correlate(entities: DataFrame, owners: DataFrame, sample: int = 12) -> DataF
     joined = left.join(right, "norm").where(F.coalesce(F.col("o_state") == F.col("e_state"), F.lit(True)) & F.coalesce(F.col("o_type") == wanted, F.lit(True)))
     grouped = joined.groupBy("entity_id", "canonical_name", "e_state", "entity_type").agg(
         F.sum("n").alias("owned_rows"), F.coalesce(F.bool_or(F.col("o_state") == F.col("e_state")), F.lit(False)).alias("state_agrees"),
-        F.array_sort(F.collect_set("provider_org_name")).alias("orgs"),
+        F.count_distinct("provider_org_name").alias("n_orgs"),
     )
-    return grouped.select("entity_id", "canonical_name", "entity_type", "owned_rows", "state_agrees", F.size("orgs").cast("long").alias("n_orgs"), F.array_join(F.slice("orgs", 1, sample), "|").alias("org_sample"))
+    firsts = first_values(joined, ["entity_id"], "provider_org_name", sample)
+    sample_text = F.coalesce(F.array_join("firsts", "|"), F.lit("")).alias("org_sample")
+    return grouped.join(firsts, "entity_id", "left").select("entity_id", "canonical_name", "entity_type", "owned_rows", "state_agrees", "n_orgs", sample_text)

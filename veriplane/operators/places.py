@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cohorts(providers: DataFrame, key: str, ident: str, sample: int = 10) -> DataFrame:
     """``(<key>, n, first_ids)``: how many rows share a key, and the first ``sample`` ids in order.
 
-    The sample is built by merging sorted slices, so no group is ever held whole.
+    The sample is a ranked limit, which every map task applies before the shuffle: of a key that a third
+    of all rows share, each sends ``sample`` rows.
     """
     keyed = providers.where(f"{key} is not null").select(key, ident)
     counted = keyed.groupBy(key).agg(F.count("*").alias("n"))
-    salted = keyed.distinct().withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(64)))
-    part = salted.groupBy(key, "salt").agg(F.slice(F.array_sort(F.collect_list(ident)), 1, sample).alias("ids"))
-    first = part.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, sample).alias("first_ids"))
-    return counted.join(first, key)
+    return counted.join(first_values(keyed, [key], ident, sample).withColumnRenamed("firsts", "first_ids"), key)
+
+
+def first_values(rows: DataFrame, keys: list[str], value: str, sample: int) -> DataFrame:
+    """``(<keys>, firsts)``: the first ``sample`` distinct values of each key, in order."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("firsts"))
 
 
 def colocated_counts(entities: DataFrame, ident: str, address: str, phone: str) -> DataFrame:

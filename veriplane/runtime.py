@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: dict[str, DataFrame] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,6 +39,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
+    if not _MADE:
+        atexit.register(drop_all)
+    _MADE[path] = back
     return back
 
 
@@ -47,6 +51,16 @@ def drop_stored(df: DataFrame) -> None:
     jvm = df.sparkSession.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE.pop(path, None)
+
+
+def drop_all() -> None:
+    """Delete every table made by ``stored`` so far; call it when all results have been written. Also runs at exit."""
+    for df in list(_MADE.values()):
+        try:
+            drop_stored(df)
+        except Exception:  # the session may be gone
+            _MADE.pop(df.stored_path, None)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
