@@ -331,6 +331,7 @@ def locate(claims: DataFrame, entities: DataFrame) -> DataFrame:
         .where("state = '' or zip_state is null or state = zip_state")
         .select("town", "state", F.col("zip").alias("code")).distinct()
     )
+    codes = stored(codes, "codes")
     by_town = bare.join(codes, ["town", "state"])
     placeless = read.where("zip = '' and town = '' and house <> ''")
     known_streets = coded.where("house <> ''").select("zip", "house", "direction", "street", "kind").distinct().join(main_state, "zip", "left")
@@ -374,6 +375,7 @@ def locate(claims: DataFrame, entities: DataFrame) -> DataFrame:
         tried.where("found").groupBy("record", *core, "town", "state").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo = hi")
         .select("record", *core, "town", "state", F.col("lo").alias("place"))
     )
+    settled = stored(settled, "settled")
     keys = ["record", *core, "town", "state"]
     rest = read.where("zip = ''").join(settled.select(*keys), keys, "left_anti")
     main_town = codes.join(towns.withColumnRenamed("zip", "code"), "code").groupBy("town", "state").agg(F.min("main_town").alias("as_main"))
