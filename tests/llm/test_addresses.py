@@ -49,3 +49,14 @@ def test_types_tell_apart_and_a_missing_one_follows_the_usual(spark):
     claims = [(i, "5 Oakridgelane St", None, "Hope", "HI", "96701") for i in (1, 2, 3, 4)] + [(5, "5 Oakridgelane Ave", None, "Hope", "HI", "96701"), (6, "5 Oakridgelane", None, "Hope", "HI", "96701")]
     got = pairs(spark, claims)
     assert ("c:1", "c:6") in got and ("c:5", "c:6") not in got and ("c:1", "c:5") not in got
+
+
+def test_one_line_readings():
+    first = lambda text: [r[:8] for r in parse_line(text) if r[8]][0]
+    assert first("26A 390 Penwilcar Ct Filudoke FL 04703") == ("", "390", "", "PENWILCAR", "COURT", "FILUDOKE", "FL", "04703")
+    assert first("37 Jaturebke 706 Fort Hanho ID 69670") == ("", "37", "", "JATUREBKE", "", "FORT HANHO", "ID", "69670")
+    assert first("Briho Bldg Turced Street 50 Jalronu CO 31540") == ("", "50", "", "TURCED", "STREET", "JALRONU", "CO", "31540")
+    assert first("9B 1977 Arhad Ct Kuorn Professional Center Saint Hogu 61191") == ("", "1977", "", "ARHAD", "COURT", "SAINT HOGU", "", "61191")
+    assert first("9TH PLACE 112 DOEXADDO CO 44618") == ("", "112", "", "9TH", "PLACE", "DOEXADDO", "CO", "44618")
+    assert first("3341 NORTH ALDGLE ST CEMADRU 6285") == ("", "3341", "N", "ALDGLE", "STREET", "CEMADRU", "", "06285")
+    assert parse_line(None) == parse_line("N/A") == parse_line("") == parse_line(" - ") == []

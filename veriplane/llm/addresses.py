@@ -52,6 +52,8 @@ _CARE = re.compile(r"(?:(?<![A-Z0-9])C\s*/\s*O|^\s*C\s*O|(?<![A-Z0-9])CARE\s+OF|
 
 _NAMED = re.compile(rf"^[^,0-9#]*?(?<![A-Z0-9])(?:{'|'.join(BUILDING_WORDS)})\s+(?=[0-9#]|(?:APT|STE|SUITE|UNIT|RM|ROOM|FL|FLOOR)\s+#?[0-9])")
 
+_BUILDING = re.compile(rf"(?<![A-Z0-9])[A-Z]+ (?:(?:PROFESSIONAL|MEDICAL|OFFICE|HEALTH|BUSINESS) )?(?:{'|'.join(BUILDING_WORDS)})(?![A-Z0-9])")
+
 
 def clean(text: str | None) -> str:
     """Upper case without accents and dots, single blanks."""
@@ -116,7 +118,7 @@ def _strip(text: str) -> tuple[str, str]:
     """The box number, and the text without care-of names, with commas in the place of boxes and units."""
     text = _NAMED.sub(" ", _CARE.sub(" ", text).strip())
     box = _BOX.search(text)
-    text = _UNIT.sub(" , ", _BOX.sub(" , ", text))
+    text = _BUILDING.sub(" , ", _UNIT.sub(" , ", _BOX.sub(" , ", text)))
     # a unit without a word for it: digits and one letter after the street
     return (box.group(1) if box else "", re.sub(r"(?<=[A-Z0-9] )[0-9]+[A-Z](?![A-Z0-9])", ",", text))
 
@@ -145,7 +147,10 @@ def parse_line(text: str | None) -> list[tuple]:
     if filler(line):
         return []
     found = _ENDING_ZIP.search(line)
-    if not found and (short := _SHORT_ZIP.search(line)):
+    last = line.split()[-2:]
+    if not found and line[0].isdigit() and len(last) == 2 and re.fullmatch("[0-9]{4}", last[1]) and last[0].isalpha() and last[0] not in {*_TYPE_OF, *_DIRECTION_OF, *STATE_NAMES}:
+        code, line = "0" + last[1], line[:-5]  # a short ZIP code straight after the town
+    elif not found and (short := _SHORT_ZIP.search(line)):
         code, line = "0" + short.group(1), line[: short.start(1)].rstrip(" ,")
     else:
         code, line = (found.group(1), line[: found.start()]) if found else ("", line)
@@ -163,10 +168,15 @@ def parse_line(text: str | None) -> list[tuple]:
         street = max((_street_words(p) for p in parts[:-1]), key=lambda s: sum(map(bool, s)))
         return [(box, *street, town_key(" ".join(parts[-1])), state, code, True)]
     words = max(parts, key=len)
-    if not words[0][0].isdigit():
+    if not re.fullmatch(r"[0-9]+[A-Z]?", words[0]):
         at = next((i for i, w in enumerate(words) if i and w[0].isdigit()), None)
         if at is not None:
             return [(box, *_street_words(words[: at + 1]), town_key(" ".join(w for w in words[at + 1 :] if not w[0].isdigit())), state, code, True)]
+    # a bare number behind the street is a unit, what follows it the town
+    start = 2 if len(words) > 2 and words[1].isdigit() and words[2] not in _TYPE_OF else 1
+    unit = next((i for i in range(start + 1, len(words)) if words[i].isdigit()), None)
+    if unit is not None:
+        return [(box, *_street_words(words[:unit]), town_key(" ".join(w for w in words[unit + 1 :] if not w[0].isdigit())), state, code, True)]
     out = []
     for k in range(0, min(5, len(words) - 1)):
         street, town = words[: len(words) - k], words[len(words) - k :]
@@ -179,7 +189,7 @@ def parse_line(text: str | None) -> list[tuple]:
 
 def _street_words(words: list[str]) -> tuple[str, str, str, str]:
     house = ""
-    if len(words) > 2 and words[0].isdigit() and words[1].isdigit() and words[2] not in _TYPE_OF:
+    if len(words) > 2 and re.fullmatch(r"[0-9]+[A-Z]?", words[0]) and words[1].isdigit() and words[2] not in _TYPE_OF:
         words = words[1:]  # a unit number, then the house
     if re.fullmatch(r"[0-9]+[A-Z]?", words[0]) and len(words) > 1:
         house, words = words[0], words[1:]
