@@ -6,13 +6,33 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SHIPPED: set[str] = set()
 _MADE: dict[str, DataFrame] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not have it installed.
+
+    The driver serves the archive to its executors, so it may lie on the driver's own disk.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parent
+        place = tempfile.mkdtemp(prefix="veriplane-package-")
+        atexit.register(shutil.rmtree, place, True)
+        with zipfile.ZipFile(f"{place}/veriplane.zip", "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        sc.addPyFile(f"{place}/veriplane.zip")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
@@ -35,6 +55,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     plan size stays constant over the rounds of an iterative operator.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_root(spark)}/veriplane/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -64,4 +85,5 @@ def drop_all() -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
