@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriplane.functions.codes import STATE_NAMES
-from veriplane.runtime import stored
+from veriplane.runtime import ship, stored
 
 # Street types and the ways they are abbreviated.
 STREET_TYPES = {
@@ -264,6 +264,7 @@ def parse_records(claims: DataFrame, entities: DataFrame) -> DataFrame:
     other records have with the same ZIP code decide; without one, a town that occurs
     anywhere; without that, a street that ends in its type.
     """
+    ship(claims.sparkSession)
     given = (
         claims.where("claim_id is not null")
         .select(F.concat(F.lit("c:"), F.col("claim_id").cast("string")), "address_1", "address_2", "city", "state", "zip_code")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriplane.runtime import ship
+
 _WORD_BYTES = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _MEMO: dict[bytes, int] = {}
 _MEMO_ROOM = 1_000_000
@@ -255,6 +257,7 @@ def find_leaks(
     set being worked off in such blocks. Words are projected in bounded pieces.
     """
     spark = documents.sparkSession
+    ship(spark)
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     wanted = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     kinds = [docs.schema["doc_id"].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriplane.runtime import stored
+from veriplane.runtime import ship, stored
 
 # Fixed value: the split pattern that belongs to the 50k byte-level vocabularies.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +35,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, doc_id: str =
     The rank file (under a megabyte) is read by the driver and broadcast, so executors
     need no tokenizer folder. Whole texts are encoded, strings of special tokens as ordinary text.
     """
+    ship(documents.sparkSession)
     with open(tokenizer, "rb") as file:
         ranks = documents.sparkSession.sparkContext.broadcast(file.read())
 
@@ -122,6 +123,7 @@ def pack(items: DataFrame, capacity: int, size: str = "n_tokens", key: str = "do
     rows, so a length that a third of all items have is spread over many tasks.
     """
     spark = items.sparkSession
+    ship(spark)
     whole = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("whole")
     pieces = (
         items.select(F.col(key).alias("doc_id"), whole)

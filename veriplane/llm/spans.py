@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriplane.runtime import stored
+from veriplane.runtime import ship, stored
 
 _BASE = 1099511628211
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -147,6 +147,7 @@ class SharedSpans:
 
     def __init__(self, documents: DataFrame, least: int = 400, k: int = 200, step: int = 50, doc_id: str = "doc_id", text: str = "text"):
         assert 0 < step <= least - k and k > 0
+        ship(documents.sparkSession)
         self.least, self.k, self.side, self.step = least, k, least - k, step
         docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
             (F.col("doc_id").isNotNull()) & (F.length("text") >= least)
