@@ -54,6 +54,23 @@ def test_recall_against_brute_force(spark):
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_recall_of_a_passage_in_a_third_of_the_documents(spark):
+    rng = random.Random(10)
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(40))) for i in range(4)]
+    hot = items[0][1].split()
+    rare = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    docs = [(d, " ".join(rare(50) + hot + rare(50) if d % 3 == 0 else rare(120))) for d in range(300)]
+    want = {d for d in range(0, 300, 3)}
+    for d in range(1, 300, 6):  # just a run, at any place of a passage
+        s, before = rng.randrange(len(hot) - 11), rng.randrange(40)
+        docs[d] = (d, " ".join(rare(before) + hot[s : s + 12] + rare(60)))
+        want.add(d)
+    docs[2] = (2, " ".join(rare(30) + hot[:11] + ["x"] + hot[12:23]))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = out.where("run_words >= 12").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, 0) for d in want} and len(got) == len(want)
+
+
 def test_paraphrase_and_answer(spark):
     item = "the quiet lodger keeps nine stamps in a blue tin beside the east window of the old mill? reply with a number only"
     near = item.replace("quiet", "silent").replace("blue", "green").replace("mill", "barn").replace("nine", "some nine")

@@ -25,7 +25,7 @@ def split_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-def bucket_ids(words: list[bytes], buckets: int) -> list[int]:
+def word_codes(words: list[bytes]) -> list[int]:
     if len(_MEMO) > _MEMO_ROOM:
         _MEMO.clear()
     memo, out = _MEMO, []
@@ -33,10 +33,34 @@ def bucket_ids(words: list[bytes], buckets: int) -> list[int]:
         i = memo.get(w)
         if i is None:
             i = memo[w] = zlib.crc32(w)
-        out.append(i % buckets)
+        out.append(i)
     return out
 
 
+def bucket_ids(words: list[bytes], buckets: int) -> list[int]:
+    return [i % buckets for i in word_codes(words)]
+
+
+def run_codes(codes: np.ndarray, length: int) -> np.ndarray:
+    """A code of each run of ``length`` neighbouring words; equal runs have equal codes."""
+    n = len(codes) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(length):  # modulo 2**64
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n].astype(np.uint64)
+    return out
+
+
+def item_runs(texts: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the items' runs of ``length`` words in ascending order and, for each, the index of its item."""
+    each = [np.unique(run_codes(np.asarray(word_codes(words), dtype=np.uint64), length)) for words in texts]
+    codes = np.concatenate(each)
+    whose = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    order = np.argsort(codes, kind="stable")
+    return codes[order], whose[order]
+
+
 def longest_run(words: list[bytes], item: list[bytes]) -> int:
     """Length of the longest sequence of consecutive words that both contain."""
     places: dict[bytes, list[int]] = {}
@@ -242,7 +266,9 @@ def find_leaks(
     that any run of ``least_words`` words lies whole in a passage. Passages and windows of the
     items are compared by cosine in the latent space (see ``LatentSpace``), divided by the
     norms in the full space; the space has ``rank`` latent directions, and those that it takes
-    for every window of the items to keep 0.85 of its length. A pair with ``similarity`` or more is a candidate. Around its
+    for every window of the items to keep 0.85 of its length. A pair with ``similarity`` or more is a candidate, and
+    so is, whatever its cosine, one that shares a run of ``least_words`` words: the cosine of a run falls as its
+    words get frequent, so an item that leaked often would be lost. Around its
     candidate passages the document is then compared exactly: ``run_words`` is the longest
     run of consecutive words it shares with the item, ``lcs_share`` the longest common
     subsequence as a share of the item's words, and ``answer_share`` that of the words
@@ -287,15 +313,18 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
         queries[n] = tf.astype(np.float32) @ terms[ids] / np.sqrt(np.sum((idf[ids] * tf) ** 2))
     first_of = np.flatnonzero(np.r_[True, np.diff(whose) > 0])
     item_of = np.asarray(whose)[first_of]
+    column_of = np.zeros(len(rows), dtype=np.int64)
+    column_of[item_of] = np.arange(len(item_of))
     texts = []
     for item_id, text in rows:
         words = split_words(text)
         answer = split_words(re.split(r"\?", text)[-1])
         texts.append((item_id, words, answer or words))
-    shared = docs.sparkSession.sparkContext.broadcast((terms.astype(np.float32), idf**2, queries, first_of, item_of, texts))
+    runs = item_runs([words for _, words, _ in texts], block)
+    shared = docs.sparkSession.sparkContext.broadcast((terms.astype(np.float32), idf**2, queries, first_of, item_of, texts, runs))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, idf2, queries, first_of, item_of, texts = shared.value
+        known = shared.value
         for batch in batches:
             out: list[tuple] = []
             group: list[tuple] = []
@@ -309,16 +338,17 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
                         group.append((doc_id, piece))
                         size += len(piece)
                     if size >= _CHUNK:
-                        scan(group, out, terms, idf2, queries, first_of, item_of, texts)
+                        scan(group, out, *known)
                         group, size = [], 0
-            scan(group, out, terms, idf2, queries, first_of, item_of, texts)
+            scan(group, out, *known)
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "run_words", "lcs_share", "answer_share"])
 
-    def scan(group: list, out: list, terms, idf2, queries, first_of, item_of, texts) -> None:
+    def scan(group: list, out: list, terms, idf2, queries, first_of, item_of, texts, runs) -> None:
         if not group:
             return
-        ids = np.asarray([i for _, words in group for i in bucket_ids(words, buckets)])
+        codes = np.asarray([i for _, words in group for i in word_codes(words)])
+        ids = codes % buckets
         lengths = np.asarray([len(words) for _, words in group])
         starts = np.cumsum(lengths) - lengths
         per_doc = -(-lengths // block)
@@ -333,12 +363,27 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
         energy[:-1] += energy[1:] * follows
         scale = np.sqrt(energy) + 1e-9
         # no query is longer than 1, so a shorter projection cannot reach the similarity
-        near = np.flatnonzero(np.einsum("ij,ij->i", vectors, vectors) >= (similarity * scale) ** 2)
+        close = np.einsum("ij,ij->i", vectors, vectors) >= (similarity * scale) ** 2
+        # passages that begin a run of an item, and the item
+        seen, (known, owner) = run_codes(codes, block), runs
+        low = np.searchsorted(known, seen)
+        at = np.flatnonzero(low < len(known))
+        at = at[known[low[at]] == seen[at]]
+        text_of = np.repeat(np.arange(len(group)), lengths)
+        at = at[text_of[at] == text_of[at + block - 1]]
+        many = np.searchsorted(known, seen[at], side="right") - low[at]
+        place = np.repeat(low[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        passage = np.repeat(np.searchsorted(cuts, at, side="right") - 1, many)
+        equal = np.unique(np.stack([passage, owner[place]], axis=1), axis=0)
+        close[equal[:, 0]] = True
+        near = np.flatnonzero(close)
         if not len(near):
             return
         cosines = np.maximum.reduceat(vectors[near] @ queries.T, first_of, axis=1) / scale[near, None]
+        wanted = cosines >= similarity
+        wanted[np.searchsorted(near, equal[:, 0]), column_of[equal[:, 1]]] = True
         hits: dict[tuple[int, int], list] = {}
-        for r, c in zip(*np.nonzero(cosines >= similarity)):
+        for r, c in zip(*np.nonzero(wanted)):
             at = near[r]
             hit = hits.setdefault((int(doc_of[at]), int(item_of[c])), [0.0, set()])
             hit[0] = max(hit[0], float(cosines[r, c]))
