@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, organization, person, slip
+from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, neighbours, organization, person, slip
 
 OWNER = "owner_pac_id string, owner_name string, owner_state string, owner_type string, name string, form string"
 EXCL = "row_id long, person_or_entity_name string, state string, npi string, name string, party string"
@@ -37,6 +37,40 @@ def test_people_and_organizations(spark):
     assert matched(spark, owners, excluded) == {("1", 1), ("1", 2), ("2", 3), ("3", 5), ("5", 8), ("5", 9)}
 
 
+def test_hot_names_lose_nothing(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ABCDEF") for _ in range(n))
+
+    def slipped(w):
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("AXZ") + w[i:], w[:i] + "Q" + w[i + 1 :]])
+        return w
+
+    firsts, leads = ({word(rng.randint(4, 9)) for _ in range(120)} for _ in range(2))
+    mine = [("HOT", f) for f in firsts] + [(x, "ANNA") for x in leads] + [("HOT", "J"), ("COOL", "PATRICIA")]
+    theirs = [("HOT", slipped(f)) for f in firsts] + [(slipped(x), "ANNA") for x in leads] + [("HOT", f[0]) for f in firsts] + [("HOT", "JOHN"), ("COOL", "PATRIZIA"), ("COOL", "P")]
+    sides = {}
+    for who, names in enumerate((mine, theirs)):
+        for n in names:
+            sides.setdefault(n, [False, False])[who] = True
+    near = neighbours(spark.createDataFrame([(False, *n, *f) for n, f in sides.items()], "org boolean, lead string, second string, is_o boolean, is_x boolean"), 6)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    alike = lambda a, b: a == b or (max(len(a), len(b)) >= 5 and edits(a, b) <= 2)
+    initial = lambda a, b: min(len(a), len(b)) == 1 and a[0] == b[0]
+    want = {(a, b) for a in mine for b in theirs if (a[0] == b[0] and (alike(a[1], b[1]) or initial(a[1], b[1]))) or (a[1] == b[1] and alike(a[0], b[0]))}
+    got = [((r.lead, r.second), (r.x_lead, r.x_second)) for r in near.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_empty(spark):
     assert matched(spark, [], []) == set()
     assert matched(spark, [("1", "A B", None, "I")], []) == set()

@@ -146,14 +146,27 @@ def telling_words(cores: DataFrame) -> DataFrame:
     return rare.select("core", "lead", F.array_join(F.array_remove(F.split("core", " "), F.col("lead")), " ").alias("second"))
 
 
-def sort_keys(lead: Column, second: Column, org: Column) -> list[Column]:
-    """Composite keys: a slip anywhere in either part leaves at least one key with its neighbours."""
-    bar, kind, back = F.lit("|"), F.when(org, "o").otherwise("p"), F.reverse(lead)
-    return [
-        F.concat(F.lit("1"), kind, lead, bar, second),
-        F.concat(F.lit("2"), kind, F.substring(lead, 1, 4), bar, second, bar, lead),
-        F.concat(F.lit("3"), kind, F.substring(back, 1, 4), bar, second, bar, back),
-    ]
+def _pieces(text: Column) -> Column:
+    """Codes of the three parts of a text; one of them is among the ``_probes`` of any text within two edits of it."""
+    n = F.length(text)
+    one, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    return F.array(
+        F.xxhash64(F.lit(1), n, F.substring(text, F.lit(1), one)),
+        F.xxhash64(F.lit(2), n, F.substring(text, one + 1, two - one)),
+        F.xxhash64(F.lit(3), n, F.substring(text, two + 1, n - two)),
+    )
+
+
+def _probes(text: Column) -> Column:
+    """Codes of the places where a text can hold a part of another that is within two edits of it, by the other's length."""
+    out = []
+    for more in range(-2, 3):  # characters that this text has more
+        n = F.length(text) - more
+        one, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+        fits = (n >= 3) & (F.greatest(n, F.length(text)) >= 5)
+        places = [(1, F.lit(1), one), *[(2, one + 1 + d, two - one) for d in range(max(-1, more - 1), min(1, more + 1) + 1)], (3, two + 1 + more, n - two)]
+        out += [F.when(fits, F.xxhash64(F.lit(part), n, F.substring(text, start, size))) for part, start, size in places]
+    return F.array_compact(F.array(*out))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -169,14 +182,23 @@ def _initial(a: Column, b: Column) -> Column:
 def neighbours(names: DataFrame, window: int, block: int = 4096) -> DataFrame:
     """Similar names of the two sides: ``(org, lead, second)`` of an owner and ``(x_lead, x_second)``, with similarities.
 
-    ``names`` has org, lead, second, is_o, is_x; each name occurs once. For each composite
-    key all names are range-partitioned and sorted, and each gets its rank in the global order; names less than
-    ``window`` ranks apart are compared, weighing lead and second word. The windows slide within blocks of
+    ``names`` has org, lead, second, is_o, is_x; each name occurs once. Names are similar if one part is equal and the
+    other alike or, under an equal lead, shortened to its initial. Runs of names with an equal part are found by two
+    composite keys, lead before second and second before lead. The names of runs of up to ``window`` are
+    range-partitioned, sorted and ranked by the key, and names less than ``window`` ranks apart compared; of longer
+    runs, whatever their length, the names are joined exactly (see ``_long_runs``). The windows slide within blocks of
     ``block`` ranks that overlap by a window, so every task gets its share whatever the keys are.
     """
-    keys = F.explode(F.array(*sort_keys(F.col("lead"), F.col("second"), F.col("org"))))
+    keyed, pairs = [], names.where("is_o and is_x").select("org", "lead", "second", F.col("lead").alias("x_lead"), F.col("second").alias("x_second"))
+    for nth, (part, other) in enumerate((("lead", "second"), ("second", "lead"))):
+        runs = names.groupBy("org", part).agg(F.count("*").alias("n"), F.max("is_o").alias("o"), F.max("is_x").alias("x"))
+        runs = names.join(runs.where("o and x and n > 1").select("org", part, (F.col("n") > window).alias("long")), ["org", part])
+        runs = stored(runs.select("org", "lead", "second", "is_o", "is_x", "long"), f"runs-{part}")
+        kind = F.when(F.col("org"), "o").otherwise("p")
+        keyed.append(runs.where("not long").select("org", "lead", "second", "is_o", "is_x", F.concat(F.lit(nth), kind, part, F.lit("|"), other).alias("key")))
+        pairs = pairs.unionByName(_long_runs(runs.where("long"), part, other))
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = names.select("*", keys.alias("key")).repartitionByRange(parts, "key").sortWithinPartitions("key").drop("key")
+    ordered = keyed[0].unionByName(keyed[1]).repartitionByRange(parts, "key").sortWithinPartitions("key").drop("key")
     ordered = stored(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "sorted")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -188,23 +210,40 @@ def neighbours(names: DataFrame, window: int, block: int = 4096) -> DataFrame:
     w = Window.partitionBy("block").orderBy("rank")
     one = F.struct("org", "lead", "second", "is_o", "is_x")
     ahead = slid.select(one.alias("n"), *[F.lead(one, j).over(w).alias(f"m{j}") for j in range(1, window)])
-    # one of the two parts must be equal, or shortened to its initial; tested before anything is expanded
-    cheap = "n.org = {m}.org and ((n.is_o and {m}.is_x) or (n.is_x and {m}.is_o)) and (n.lead = {m}.lead or n.second = {m}.second or (not n.org and least(length(n.second), length({m}.second)) = 1 and left(n.second, 1) = left({m}.second, 1)))"
+    # one of the two parts must be equal; tested before anything is expanded
+    cheap = "n.org = {m}.org and ((n.is_o and {m}.is_x) or (n.is_x and {m}.is_o)) and (n.lead = {m}.lead or n.second = {m}.second)"
     close = [F.when(F.expr(cheap.format(m=f"m{j}")), F.col(f"m{j}")) for j in range(1, window)]
     two = ahead.select("n", F.explode(F.array_compact(F.array(*close))).alias("m"))
     # either may be the owner's
     sides = F.array_compact(F.array(F.when(F.col("n.is_o") & F.col("m.is_x"), F.struct(F.col("n").alias("o"), F.col("m").alias("x"))), F.when(F.col("m.is_o") & F.col("n.is_x"), F.struct(F.col("m").alias("o"), F.col("n").alias("x")))))
-    pairs = two.select(F.explode(sides).alias("s")).select(
+    slid_pairs = two.select(F.explode(sides).alias("s")).select(
         F.col("s.o.org").alias("org"), F.col("s.o.lead").alias("lead"), F.col("s.o.second").alias("second"), F.col("s.x.lead").alias("x_lead"), F.col("s.x.second").alias("x_second")
     )
-    same = names.where("is_o and is_x").select("org", "lead", "second", F.col("lead").alias("x_lead"), F.col("second").alias("x_second"))
     short = ~F.col("org") & _initial(F.col("second"), F.col("x_second"))
-    pairs = pairs.unionByName(same)
+    pairs = pairs.unionByName(slid_pairs)
     second = F.when(F.col("second") == F.col("x_second"), 1.0).when(short & (F.col("lead") == F.col("x_lead")), 0.8).otherwise(_alike(F.col("second"), F.col("x_second")))
     scored = pairs.select("*", _alike(F.col("lead"), F.col("x_lead")).alias("lead_sim"), second.alias("second_sim")).where("lead_sim > 0 and second_sim > 0")
     return scored.distinct()
 
 
+def _long_runs(names: DataFrame, part: str, other: str) -> DataFrame:
+    """Pairs of an owner's and an exclusion's name with equal ``part`` and alike ``other``, or its initial if that is a first name.
+
+    Two edits leave one of three parts of a text whole, so names are joined on the parts, not with their whole run.
+    """
+    o = names.where("is_o").select("org", part, other)
+    x = names.where("is_x").select("org", part, F.col(other).alias(f"x_{other}"))
+    both = lambda left, right, key: left.join(right, ["org", part, key]).drop(key)
+    parts = both(o.select("*", F.explode(_probes(F.col(other))).alias("code")), x.where(F.length(f"x_{other}") >= 3).select("*", F.explode(_pieces(F.col(f"x_{other}"))).alias("code")), "code")
+    pairs = parts.where(_alike(F.col(other), F.col(f"x_{other}")) > 0)
+    if part == "lead":
+        first = lambda side, c: side.where("not org").withColumn("first", F.substring(c, 1, 1))
+        mine, theirs = first(o, "second"), first(x, "x_second")
+        initial = both(mine.where("length(second) = 1"), theirs, "first").unionByName(both(mine, theirs.where("length(x_second) = 1"), "first"))
+        pairs = pairs.unionByName(initial)
+    return pairs.select("org", "lead", "second", *[(F.col(f"x_{c}") if c == other else F.col(c)).alias(f"x_{c}") for c in ("lead", "second")])
+
+
 def owner_entries(owners: DataFrame) -> DataFrame:
     """One row per owner id (two where its surname is unsure): its most frequent reading, full middle name, kind and state."""
     rows = (
@@ -239,7 +278,8 @@ def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, lea
     """``(owner_pac_id, row_id, confidence)``: excluded parties among the owners.
 
     Names are read into surname and first name, or telling word and other words. The names of both tables
-    together are sorted by three composite keys and compared within a sliding ``window``. Exclusion rows
+    together are sorted by two composite keys and compared within a sliding ``window``, or joined exactly
+    where more names than that share a part (see ``neighbours``). Exclusion rows
     that look like one owner are put together into parties (same valid number, or compatible names, middle names,
     kinds and states), whose middle names, kinds and states count together. The confidence weighs lead 0.45,
     second 0.30, middle or kind 0.15, state 0.10, an unknown part counting half. A pair of owner and
@@ -252,7 +292,8 @@ def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, lea
     spelling stands for an owner. Empty tables give no rows. Other columns play no part.
 
     Scale: an owner with a third of all rows is one entry, and rows of equal name, state and number are one
-    form, before anything is compared; the comparisons are three times ``window`` per distinct name.
+    form, before anything is compared; the comparisons are at most twice ``window`` per distinct name, and in
+    longer runs those of names with an equal part of the differing word.
     """
     number = F.when(valid_npi(F.col("npi")), F.trim("npi"))
     excluded = exclusions.where("row_id is not null and person_or_entity_name is not null").select(
