@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, neighbours, organization, person, slip
+from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, neighbours, organization, person, slip, sparse_assignment
 
 OWNER = "owner_pac_id string, owner_name string, owner_state string, owner_type string, name string, form string"
 EXCL = "row_id long, person_or_entity_name string, state string, npi string, name string, party string"
@@ -97,3 +97,19 @@ def test_assign_small_and_large_components(spark):
     for rows in (exact, rough):
         assert len({r.owner for r in rows}) == len(rows) == len({r.party for r in rows}) == 7
     assert 0.5 * sum(r.confidence for r in exact) <= sum(r.confidence for r in rough) <= sum(r.confidence for r in exact) + 1e-9
+
+
+def test_large_components_are_solved_exactly(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n, m = rng.integers(1, 12, 2)
+        gain = rng.integers(1, 6, (n, m)) / 5 * (rng.random((n, m)) > 0.5)
+        i, j = np.nonzero(gain)
+        got = sparse_assignment(i.tolist(), j.tolist(), gain[i, j].tolist())
+        assert len({a for a, _, _ in got}) == len(got) == len({b for _, b, _ in got}) and all(gain[a, b] == g for a, b, g in got)
+        assert abs(sum(g for _, _, g in got) - sum(gain[a, b] for a, b in best_assignment(gain))) < 1e-9
+    # a chain in which the mutually best pairs come to 0.9 * 250 of the best total 0.8 * 500
+    edges = [e for k in range(250) for e in ((f"a{k}", f"q{k}", 0.8), (f"b{k}", f"q{k}", 0.9), (f"b{k}", f"r{k}", 0.8), (f"b{k}", f"q{(k + 1) % 250}", 0.01))]
+    rows = assign(spark.createDataFrame(edges, "owner string, party string, confidence double")).collect()
+    assert len({r.owner for r in rows}) == len(rows) == len({r.party for r in rows}) == 500
+    assert abs(sum(r.confidence for r in rows) - 400) < 1e-6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -410,12 +411,48 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and gain[match[j] - 1, j - 1] > 0]
 
 
+def sparse_assignment(rows: list[int], columns: list[int], gains: list[float]) -> list[tuple[int, int, float]]:
+    """As ``best_assignment``, for the gains of some pairs only, each given once; memory in proportion to the pairs."""
+    near: list[list[tuple[int, float]]] = [[] for _ in range(max(rows, default=-1) + 1)]
+    for i, j, g in zip(rows, columns, gains):
+        if g > 0:
+            near[i].append((j, -g))
+    m = max(columns, default=-1) + 1
+    for i, own in enumerate(near):
+        own.append((m + i, 0.0))  # to remain alone
+    u, v, column_of, row_of = [0.0] * len(near), [0.0] * (m + len(near)), [-1] * len(near), [-1] * (m + len(near))
+    for i in range(len(near)):
+        far, way, done, heap, row, base = {}, {}, {}, [], i, 0.0
+        while True:
+            for j, cost in near[row]:
+                if j not in done and (d := base + cost - u[row] - v[j]) < far.get(j, np.inf):
+                    far[j], way[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            base, j = heapq.heappop(heap)
+            while j in done:
+                base, j = heapq.heappop(heap)
+            done[j] = base
+            if row_of[j] < 0:
+                break
+            row = row_of[j]
+        for k, d in done.items():
+            if row_of[k] >= 0:
+                u[row_of[k]] += base - d
+            v[k] -= base - d
+        u[i] += base
+        while True:
+            row = way[j]
+            row_of[j], column_of[row], j = row, j, column_of[row]
+            if row == i:
+                break
+    return [(i, j, -cost) for i, own in enumerate(near) for j, cost in own if j == column_of[i] and j < m]
+
+
 def assign(edges: DataFrame, largest: int = 400) -> DataFrame:
     """One-to-one pairs of ``edges`` (owner, party, confidence) of greatest total confidence.
 
-    Pairs without a rival are taken at once. Rivals are split into connected components; one of
-    up to ``largest`` edges is solved exactly. Larger ones, of any size, are solved by rounds
-    in which mutually best pairs are taken (at least half the greatest total), none being dropped unseen.
+    Pairs without a rival are taken at once. Rivals are split into connected components, and each is
+    solved exactly, by a task: one of up to ``largest`` edges as a matrix, a larger one by the edges alone.
     """
     w = lambda c: Window.partitionBy(c)
     degrees = edges.withColumns({"_o": F.count("*").over(w("owner")), "_p": F.count("*").over(w("party"))})
@@ -425,24 +462,19 @@ def assign(edges: DataFrame, largest: int = 400) -> DataFrame:
     if rivals.isEmpty():
         return clear
     groups = contract(rivals, "owner", "party").withColumnRenamed("id", "owner")
-    rivals = stored(rivals.join(groups, "owner").withColumn("_n", F.count("*").over(w("group_id"))), "rivals")
+    rivals = stored(rivals.join(groups, "owner"), "rivals")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["owner", "party"])
+        # a pair that is given twice counts with its greatest confidence
+        pdf = pdf.groupby(["owner", "party"], as_index=False, sort=True)["confidence"].max()
         rows, owners = pd.factorize(pdf["owner"])
         cols, parties = pd.factorize(pdf["party"])
-        gain = np.zeros((len(owners), len(parties)))
-        gain[rows, cols] = pdf["confidence"]
-        picked = best_assignment(gain)
-        return pd.DataFrame([(owners[i], parties[j], gain[i, j]) for i, j in picked], columns=["owner", "party", "confidence"])
-
-    small = rivals.where(F.col("_n") <= largest).groupBy("group_id").applyInPandas(solve, "owner string, party string, confidence double")
-    out = clear.unionByName(small)
-    left = rivals.where(F.col("_n") > largest).select("owner", "party", "confidence")
-    while not left.isEmpty():
-        rank = F.struct("confidence", F.xxhash64("owner", "party").alias("h"), "owner", "party")
-        scored = left.withColumn("_r", rank)
-        mutual = stored(scored.withColumns({"_bo": F.max("_r").over(w("owner")), "_bp": F.max("_r").over(w("party"))}).where("_r = _bo and _r = _bp").select("owner", "party", "confidence"), "mutual")
-        out = out.unionByName(mutual)
-        left = stored(left.join(mutual.select("owner"), "owner", "left_anti").join(mutual.select("party"), "party", "left_anti"), "left")
-    return out
+        if len(pdf) > largest:
+            picked = sparse_assignment(rows.tolist(), cols.tolist(), pdf["confidence"].tolist())
+        else:
+            gain = np.zeros((len(owners), len(parties)))
+            gain[rows, cols] = pdf["confidence"]
+            picked = [(i, j, gain[i, j]) for i, j in best_assignment(gain)]
+        return pd.DataFrame([(owners[i], parties[j], g) for i, j, g in picked], columns=["owner", "party", "confidence"])
+
+    return clear.unionByName(rivals.groupBy("group_id").applyInPandas(solve, "owner string, party string, confidence double"))
