@@ -291,6 +291,7 @@ def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, lea
     Defined cases: rows without owner id, row id or name, and fillers for names, match nothing; an unknown
     state, middle name or kind is compatible with any; repeated rows count once, but the most frequent
     spelling stands for an owner. Empty tables give no rows. Other columns play no part.
+    Names are read up to a mark AKA, FKA, NKA or DBA: a party listed under its other name alone is not found.
 
     Scale: an owner with a third of all rows is one entry, and rows of equal name, state and number are one
     form, before anything is compared; the comparisons are at most twice ``window`` per distinct name, and in
