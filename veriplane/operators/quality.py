@@ -30,6 +30,25 @@ def fingerprint(pages: DataFrame, group: str, text: str) -> DataFrame:
     )
 
 
+def header_share(pages: DataFrame, group: str, text: str, header: str) -> DataFrame:
+    """``(<group>, n_pages, n_with_header, header_share)``: how many pages hold the header text."""
+    has = F.count_if(F.contains(F.col(text), F.lit(header)))
+    counted = pages.where(F.col(text).isNotNull()).groupBy(group).agg(F.count("*").alias("n_pages"), has.alias("n_with_header"))
+    return counted.withColumn("header_share", F.round(F.col("n_with_header") / F.col("n_pages"), 6))
+
+
+def parse_report(records: DataFrame, group: str, name: str, date: str, expected: tuple[int, int], reliable: float = 0.7, loss: float = 0.7, trusted: float = 0.8) -> DataFrame:
+    """Per group: records, reliable ones (score ``reliable`` or more), whether their number drifted out of ``expected``, the overall confidence, and whether to trust it.
+
+    The confidence is the share of reliable records, times ``loss`` on drift.
+    """
+    scored = records.select(group, parse_score(F.col(name), F.col(date)).alias("score"))
+    counted = scored.groupBy(group).agg(F.count("*").alias("n_records"), F.count_if(F.col("score") >= reliable).alias("n_reliable"))
+    drifted = ~F.col("n_records").between(*expected)
+    overall = F.round(F.col("n_reliable") / F.col("n_records") * F.when(drifted, loss).otherwise(1.0), 6)
+    return counted.select("*", drifted.alias("drifted"), overall.alias("confidence")).withColumn("trustworthy", (F.col("confidence") >= trusted) & ~F.col("drifted"))
+
+
 def failure_runs(log: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
     """``(<key>, longest_run)``: the longest run of consecutive failures of each key in log order."""
     w = Window.partitionBy(key).orderBy(order)

@@ -24,31 +24,40 @@ def anchor_edges(records: DataFrame) -> DataFrame:
     return records.join(by_npi, "npi").select("idx", "anchor").unionByName(named).where("idx <> anchor").distinct()
 
 
-def pair_scores(records: DataFrame, max_block: int = 400) -> DataFrame:
-    """``(i, j, score, signals)`` of record pairs in a common phonetic block with score 0.72 or more.
+def _scored(records: DataFrame, max_block: int) -> DataFrame:
+    """``(i, j, raw, signals)``: see ``pair_scores``; the score is not rounded.
 
-    Pairs of equal normal name, and pairs of different known numbers, are not compared. A
-    block of more than ``max_block`` records is left out whole, as the resolution defines it; a pair may meet in another one.
+    The features travel with the keys and pairs are scored where they meet, so that neither pairs nor
+    their features are shuffled; a pair that meets in several blocks is made one after scoring, when few are left.
     """
     rec = features(records)
-    keyed = rec.select("idx", F.explode("phon").alias("key"))
+    keyed = rec.select("idx", "norm", "npi", "state", "words", "phon", F.explode("phon").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_block)).select("key")
     keyed = keyed.join(sizes, "key")
-    pairs = keyed.withColumnRenamed("idx", "i").join(keyed.withColumnRenamed("idx", "j"), "key").where("i < j").select("i", "j").distinct()
-    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("idx", "norm", "npi", "state", "words", "phon")])
-    both = pairs.join(side("i"), F.col("i") == F.col("idx_i")).join(side("j"), F.col("j") == F.col("idx_j"))
-    both = both.where("norm_i <> norm_j and not (npi_i is not null and npi_j is not null and npi_i <> npi_j)")
-    cheap = both.select(
-        "i", "j", "norm_i", "norm_j",
-        token_similarity(F.col("words_i"), F.col("words_j")).alias("token"),
-        jaccard(F.col("phon_i"), F.col("phon_j")).alias("phonetic"),
-        F.when(F.lower("state_i") == F.lower("state_j"), 0.05).otherwise(0.0).alias("bonus"),
-    ).where(0.6 + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus") >= REVIEW)
+    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("idx", "norm", "npi", "state", "words", "phon")])
+    both = side("i").join(side("j"), "key").where("idx_i < idx_j and norm_i <> norm_j and not (npi_i is not null and npi_j is not null and npi_i <> npi_j)")
+    bonus = F.when(F.lower("state_i") == F.lower("state_j"), 0.05).otherwise(0.0)
+    lengths = [F.length("norm_i"), F.length("norm_j")]
+    # the edit part is at most the ratio of the lengths, token and phonetic parts at most 0.25 and 0.15
+    near = both.where(0.6 * F.least(*lengths) / F.greatest(*lengths) + 0.4 + bonus >= REVIEW)
+    cheap = near.select(
+        F.col("idx_i").alias("i"), F.col("idx_j").alias("j"), "norm_i", "norm_j",
+        token_similarity(F.col("words_i"), F.col("words_j")).alias("token"), jaccard(F.col("phon_i"), F.col("phon_j")).alias("phonetic"), bonus.alias("bonus"),
+    ).where(0.6 * F.least(*lengths) / F.greatest(*lengths) + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus") >= REVIEW - 1e-9)
     scored = cheap.withColumn("edit", edit_similarity(F.col("norm_i"), F.col("norm_j")))
     score = F.least(F.lit(1.0), 0.6 * F.col("edit") + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus"))
     fired = [("edit", 0.6, "name_edit_distance"), ("token", 0.5, "name_token_overlap"), ("phonetic", 0.5, "name_phonetic"), ("bonus", 0.0, "state_match")]
     signals = F.array_compact(F.array(*[F.when(F.col(c) > least, name) for c, least, name in fired]))
-    return scored.select("i", "j", F.round(score, 4).alias("score"), signals.alias("signals"), score.alias("raw")).where(F.col("raw") >= REVIEW).drop("raw")
+    return scored.select("i", "j", score.alias("raw"), signals.alias("signals")).where(F.col("raw") >= REVIEW).dropDuplicates(["i", "j"])
+
+
+def pair_scores(records: DataFrame, max_block: int = 400) -> DataFrame:
+    """``(i, j, score, signals)`` of record pairs in a common phonetic block with score 0.72 or more.
+
+    Pairs of equal normal name, and pairs of different known numbers, are not compared. A
+    block of more than ``max_block`` records is left out whole, as the resolution defines it; a pair may meet in another one.
+    """
+    return _scored(records, max_block).select("i", "j", F.round("raw", 4).alias("score"), "signals")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -67,25 +76,31 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def resolve(records: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
+def resolve(records: DataFrame, confirmed: DataFrame | None = None, max_block: int = 400) -> DataFrame:
     """``(idx, cluster)`` for every record; ``confirmed`` (i, j) are links a person decided, merged as well."""
-    rec = features(records)
-    edges = anchor_edges(rec).select(F.col("idx").alias("i"), F.col("anchor").alias("j"))
-    edges = edges.unionByName(pair_scores(records).where(F.col("score") >= MERGE).select("i", "j"))
+    return resolve_pairs(records, _scored(records, max_block), confirmed)
+
+
+def resolve_pairs(records: DataFrame, scored: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
+    """As ``resolve``, with the scored pairs (i, j, raw) given."""
+    edges = anchor_edges(features(records)).select(F.col("idx").alias("i"), F.col("anchor").alias("j"))
+    edges = edges.unionByName(scored.where(F.col("raw") >= MERGE).select("i", "j"))
     if confirmed is not None:
         edges = edges.unionByName(confirmed.select("i", "j"))
     groups = components(edges, "i", "j")
     return records.join(groups, records["idx"] == groups["id"], "left").select("idx", F.coalesce("component", "idx").alias("cluster"))
 
 
-def modal(values: DataFrame, key: str, value: str) -> DataFrame:
-    """``(<key>, <value>)``: the most frequent non-blank value; then the longer in bytes, then the smaller."""
-    counted = values.where(f"trim({value}) <> ''").groupBy(key, value).agg(F.count("*").alias("n"))
+def modal(values: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
+    """``(<key>, <value>)``: the most frequent non-blank value; then the longer in bytes, then the smaller. ``weight`` counts a row several times."""
+    count = F.sum(weight) if weight else F.count("*")
+    counted = values.where(f"trim({value}) <> ''").groupBy(key, value).agg(count.alias("n"))
     order = F.struct((-F.col("n")).alias("a"), (-F.octet_length(F.col(value))).alias("b"), F.col(value).alias("v"))
     return counted.groupBy(key).agg(F.min(order)["v"].alias(value))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the highest ``order`` of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """The row with the highest ``order`` of each key; of ties the one whose other columns are greatest, compared as text by name."""
+    rest = [F.desc(F.col(c).cast("string")) for c in sorted(rows.columns) if c not in keys and c != order]
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), *rest)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -10,6 +10,7 @@ from veriplane.functions.keys import address_key, pair_of, phone_key, rfc3339_or
 from veriplane.functions.names import NOISE_TOKENS, ORG_TOKENS, entity_type, normalize_name, phonetic_keys
 from veriplane.operators.correlation import correlate
 from veriplane.operators.events import build_events, event_profile
+from veriplane.operators.graph import active_cohorts, build_graph, registry_rows
 from veriplane.operators.places import cohorts, colocated_counts
 from veriplane.operators.quality import failure_runs, fingerprint, parse_score
 from veriplane.operators.resolution import latest, modal, pair_scores, resolve
@@ -32,11 +33,75 @@ def phonetic_key_counts(spark: SparkSession, folder: str) -> DataFrame:
     return keys.groupBy("phonetic_key").agg(F.count("*").alias("n"))
 
 
+def _rows(spark, folder):
+    """Exclusion rows with the party's name, its number if valid, and its state."""
+    npi = F.when(valid_npi(F.col("npi")), F.trim("npi"))
+    return table(spark, folder, "exclusions").withColumns({"name": F.col("person_or_entity_name"), "npi": npi, "state": F.upper(F.trim("state"))})
+
+
 def _records(spark, folder):
     """Distinct exclusion parties, their row number as index."""
-    rows = table(spark, folder, "exclusions").where("person_or_entity_name is not null")
-    npi = F.when(valid_npi(F.col("npi")), F.trim("npi"))
-    return rows.select(F.col("person_or_entity_name").alias("name"), npi.alias("npi"), F.upper(F.trim("state")).alias("state"), "row_id").groupBy("name", "npi", "state").agg(F.min("row_id").alias("idx"))
+    return _rows(spark, folder).where("name is not null").groupBy("name", "npi", "state").agg(F.min("row_id").alias("idx"))
+
+
+def _registry(spark, folder):
+    numbered = _entities(spark, folder).select(
+        F.explode("npis").alias("npi"), "entity_id", F.coalesce("npi_active", F.lit(False)).alias("active"), F.col("npi_deactivation_date").alias("deactivated"),
+        address_key(F.col("practice_address"), *[F.lit(None).cast("string")] * 3).alias("address"), phone_key(F.col("practice_phone")).alias("phone"),
+    )
+    return registry_rows(numbered, "entity_id")
+
+
+def _graph(spark, folder):
+    return build_graph(_rows(spark, folder), _registry(spark, folder), latest_verdicts(spark, folder).select("entity_a", "entity_b", "verdict"))
+
+
+def graph_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities that the exclusion rows resolve into, with what the registry knows of them."""
+    return _flat(_graph(spark, folder)["entity"], "npis", "colocated_sample")
+
+
+def _flat(rows: DataFrame, *arrays: str) -> DataFrame:
+    """Arrays of text as one text."""
+    return rows.withColumns({c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in arrays})
+
+
+def graph_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every dated exclusion row as an event of the entity that its party resolves into."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _graph(spark, folder)["exclusion_event"].select("event_id", "entity_id", "authority", "exclusion_type", day("excluded_at"), day("reinstated_at"), "status", "state", "source_id")
+
+
+def graph_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entities alike enough to be looked at, without those that were rejected."""
+    return _flat(_graph(spark, folder)["identity_link_candidate"], "signals")
+
+
+def graph_meta(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(_graph(spark, folder)["meta"], "jurisdiction_coverage", "sources_ingested")
+
+
+def confirmed_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of parties after confirmed links have put some of them together."""
+    return _graph(spark, folder)["clusters"].groupBy("cluster").agg(F.count("*").alias("n_parties"), F.sum("n").alias("n_rows"))
+
+
+def _cohort(spark, folder, keys):
+    excluded = _rows(spark, folder).where("npi is not null").select("npi").distinct()
+    return _flat(active_cohorts(_registry(spark, folder), excluded, keys), "first_ids")
+
+
+def cohorts_address(spark: SparkSession, folder: str) -> DataFrame:
+    """Active providers that are not excluded, at the address of one that is."""
+    return _cohort(spark, folder, ["address"])
+
+
+def cohorts_phone(spark: SparkSession, folder: str) -> DataFrame:
+    return _cohort(spark, folder, ["phone"])
+
+
+def cohorts_both(spark: SparkSession, folder: str) -> DataFrame:
+    return _cohort(spark, folder, ["address", "phone"])
 
 
 def name_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,6 +284,7 @@ _FUNCTIONS = [
     top_candidates, modal_names, event_status_counts, event_profiles, multi_tier_entities, entity_rollup, excluded_registry_rows, unmatched_exclusions,
     phone_cohorts, shared_locations, owner_correlation, verdict_calibration, rejection_runs, run_changes, run_totals, address_keys, phone_keys,
     normalized_dates, parse_quality, text_fingerprints, union_sources, source_statistics, jurisdiction_entities,
+    graph_entities, graph_events, graph_candidates, graph_meta, confirmed_clusters, cohorts_address, cohorts_phone, cohorts_both,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -262,6 +328,93 @@ _PHONETIC = """
   stems AS (SELECT *, CASE WHEN substr(w, 1, 2) IN ('AE', 'GN', 'KN', 'PN', 'WR') THEN substr(w, 2) ELSE w END AS stem FROM words),
   bare AS (SELECT *, string_split(substr(stem, 1, 1) || regexp_replace(substr(stem, 2), '[AEIOU]', '', 'g'), '') AS c FROM stems),
   keys AS (SELECT *, substr(array_to_string(list_transform(list_filter(generate_series(1, len(c)), lambda i: i = 1 OR c[i] <> c[i - 1]), lambda i: c[i]), ''), 1, 6) AS key FROM bare)"""
+_PAIRS = f"""party AS (SELECT person_or_entity_name AS name, CASE WHEN {_NPI_OK} THEN trim(npi) END AS npi, upper(trim(state)) AS state, row_id FROM exclusions),
+  rec AS (SELECT name, npi, state, min(row_id) AS idx, count(DISTINCT row_id) AS n FROM party WHERE name IS NOT NULL GROUP BY 1, 2, 3),
+  feat AS (SELECT *, {_NORM('name')} AS norm FROM rec),
+  words AS (SELECT idx, unnest(list_distinct(string_split(norm, ' '))) AS w FROM feat WHERE norm <> ''), {_PHONETIC},
+  kk AS (SELECT DISTINCT idx, key FROM keys WHERE length(w) > 1),
+  ok AS (SELECT key FROM kk GROUP BY key HAVING count(*) BETWEEN 2 AND 400),
+  sets AS (SELECT f.*, list_distinct(list_filter(string_split(norm, ' '), lambda t: t <> '')) AS ws,
+                  coalesce((SELECT list(key) FROM kk WHERE kk.idx = f.idx), []) AS ks FROM feat f),
+  pairs AS (SELECT DISTINCT a.idx AS i, b.idx AS j FROM kk a JOIN ok USING (key) JOIN kk b ON a.key = b.key AND a.idx < b.idx),
+  sim AS (SELECT i, j, a.norm AS x, b.norm AS y,
+      len(list_intersect(a.ws, b.ws)) AS wi, len(list_distinct(a.ws || b.ws)) AS wu, least(len(a.ws), len(b.ws)) AS wm,
+      len(list_intersect(a.ks, b.ks)) AS ki, len(list_distinct(a.ks || b.ks)) AS ku,
+      CASE WHEN lower(a.state) = lower(b.state) THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS bonus
+    FROM pairs JOIN sets a ON a.idx = i JOIN sets b ON b.idx = j
+    WHERE a.norm <> b.norm AND NOT (a.npi IS NOT NULL AND b.npi IS NOT NULL AND a.npi <> b.npi)),
+  parts AS (SELECT i, j, bonus, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS edit,
+      greatest(CASE WHEN wu > 0 THEN wi::DOUBLE / wu ELSE 0 END, 0.9::DOUBLE * CASE WHEN wm > 0 THEN wi::DOUBLE / wm ELSE 0 END) AS token,
+      CASE WHEN ku > 0 THEN ki::DOUBLE / ku ELSE 0 END AS phon FROM sim),
+  scored AS MATERIALIZED (SELECT *, least(1::DOUBLE, 0.6::DOUBLE * edit + 0.25::DOUBLE * token + 0.15::DOUBLE * phon + bonus) AS s FROM parts WHERE
+      least(1::DOUBLE, 0.6::DOUBLE * edit + 0.25::DOUBLE * token + 0.15::DOUBLE * phon + bonus) >= 0.72)"""
+_FIRED = """array_to_string(list_filter([CASE WHEN edit > 0.6 THEN 'name_edit_distance' END, CASE WHEN token > 0.5 THEN 'name_token_overlap' END,
+            CASE WHEN phon > 0.5 THEN 'name_phonetic' END, CASE WHEN bonus > 0 THEN 'state_match' END], lambda v: v IS NOT NULL), ',')"""
+_BASE = """one_npi AS (SELECT npi, min(idx) AS anchor FROM feat WHERE npi IS NOT NULL GROUP BY 1),
+  one_norm AS (SELECT norm, min(idx) AS anchor, arg_min(struct_pack(npi := npi), idx).npi AS a_npi FROM feat WHERE norm <> '' GROUP BY 1),
+  links AS (SELECT idx AS u, anchor AS v FROM feat JOIN one_npi USING (npi)
+            UNION SELECT idx, anchor FROM feat JOIN one_norm USING (norm) WHERE NOT (npi IS NOT NULL AND a_npi IS NOT NULL AND npi <> a_npi)
+            UNION SELECT i, j FROM scored WHERE s >= 0.9),
+  ends AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+  reach AS (SELECT idx AS id, idx AS r FROM feat UNION SELECT reach.id, ends.v FROM reach JOIN ends ON reach.r = ends.u),
+  base AS MATERIALIZED (SELECT id AS idx, min(r) AS cluster FROM reach GROUP BY 1)"""
+_TOP = lambda c: f"row_number() OVER (PARTITION BY cluster ORDER BY sum(n) DESC, strlen({c}) DESC, {c}) = 1"
+_IDS = """{0}_norm AS (SELECT cluster, norm FROM {0} WHERE norm <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY sum(n) DESC, strlen(norm) DESC, norm) = 1),
+  {0}_ids AS MATERIALIZED (SELECT m.cluster, coalesce(min(m.npi), 'name:' || coalesce(min(k.norm), '')) AS entity_id FROM {0} m LEFT JOIN {0}_norm k USING (cluster) GROUP BY 1)"""
+# the graph leaves out parties without a name; the rest is resolved as before
+_GRAPH = f"""{_PAIRS.replace("WHERE name IS NOT NULL", "WHERE trim(name) <> ''")}, {_BASE}, {_LAST},
+  early AS MATERIALIZED (SELECT f.*, cluster FROM feat f JOIN base USING (idx)), {_IDS.format("early")},
+  rep AS (SELECT entity_id, max(cluster) AS cluster FROM early_ids GROUP BY 1),
+  joins AS (SELECT a.cluster AS u, b.cluster AS v FROM last JOIN rep a ON a.entity_id = entity_a JOIN rep b ON b.entity_id = entity_b WHERE verdict = 'confirm'),
+  both_ways AS MATERIALIZED (SELECT u, v FROM joins UNION SELECT v, u FROM joins),
+  spread AS (SELECT DISTINCT cluster AS id, cluster AS r FROM early UNION SELECT spread.id, b.v FROM spread JOIN both_ways b ON spread.r = b.u),
+  final AS (SELECT id, min(r) AS cluster FROM spread GROUP BY 1),
+  member AS MATERIALIZED (SELECT e.idx, e.name, e.npi, e.state, e.norm, e.n, f.cluster FROM early e JOIN final f ON f.id = e.cluster), {_IDS.format("member")}"""
+_ADDRESS_OF = "nullif(trim(regexp_replace(regexp_replace(upper(practice_address), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '')"
+_REG = f"""{_ENT}, reg AS MATERIALIZED (SELECT * FROM (
+    SELECT unnest(npis) AS npi, entity_id, coalesce(npi_active, false) AS active, npi_deactivation_date AS deactivated, {_ADDRESS_OF} AS address, {_PHONE(c='practice_phone')} AS phone FROM ent)
+  WHERE npi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY npi ORDER BY entity_id DESC) = 1)"""
+_EXCLUDED = f"excluded AS (SELECT DISTINCT trim(npi) AS npi FROM exclusions WHERE {_NPI_OK})"
+
+
+def _COHORT(*keys):
+    cols, known = ", ".join(keys), " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return f"""cohort_{'_'.join(keys)} AS (SELECT {cols}, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT npi)), 1, 10), ',') AS first_ids FROM reg
+      WHERE active AND {known} AND npi NOT IN (SELECT npi FROM excluded) AND ({cols}) IN (SELECT ({cols}) FROM reg WHERE {known} AND npi IN (SELECT npi FROM excluded)) GROUP BY {cols})"""
+
+
+_ENTITY = f"""{_REG}, excluded AS (SELECT DISTINCT npi FROM member WHERE npi IS NOT NULL), {_COHORT('address')}, {_COHORT('phone')}, {_COHORT('address', 'phone')},
+  info AS (SELECT cluster, bool_or(active) AS npi_active, min(strftime({_DATE('deactivated')}, '%Y-%m-%d')) AS npi_deactivation_date,
+                  arg_min(address, npi) FILTER (address IS NOT NULL) AS address, arg_min(phone, npi) FILTER (phone IS NOT NULL) AS phone
+           FROM (SELECT DISTINCT cluster, npi FROM member WHERE npi IS NOT NULL) JOIN reg USING (npi) GROUP BY 1),
+  named AS (SELECT cluster, name FROM member GROUP BY 1, 2 QUALIFY {_TOP('name')}),
+  stated AS (SELECT cluster, state FROM member WHERE trim(state) <> '' GROUP BY 1, 2 QUALIFY {_TOP('state')}),
+  whole AS (SELECT cluster, sum(n) AS n, coalesce(string_agg(DISTINCT npi, ',' ORDER BY npi), '') AS npis FROM member GROUP BY 1),
+  entity AS (SELECT w.cluster, entity_id, CASE WHEN list_has_any(string_split({_NORM('name')}, ' '), [{_ORG}]) THEN 'organization' ELSE 'individual' END AS entity_type,
+      name AS canonical_name, state AS canonical_state, npis, npi_active, npi_deactivation_date, i.address AS practice_address, i.phone AS practice_phone,
+      a.n AS addr_cohort_active, p.n AS phone_cohort_active, b.n AS both_cohort_active,
+      array_to_string(list_slice(list_sort(list_distinct(list_filter(string_split(concat_ws(',', nullif(a.first_ids, ''), nullif(p.first_ids, ''), nullif(b.first_ids, '')), ','), lambda x: x <> ''))), 1, 10), ',') AS colocated_sample,
+      CASE WHEN npis <> '' OR w.n = 1 THEN 1::DOUBLE ELSE 0.85::DOUBLE END AS resolution_confidence
+    FROM whole w JOIN member_ids USING (cluster) JOIN named USING (cluster) LEFT JOIN stated USING (cluster) LEFT JOIN info i USING (cluster)
+    LEFT JOIN cohort_address a ON a.address = i.address LEFT JOIN cohort_phone p ON p.phone = i.phone
+    LEFT JOIN cohort_address_phone b ON b.address = i.address AND b.phone = i.phone)"""
+_GRAPH_EVENTS = f"""{_EX}, gev0 AS (
+  SELECT entity_id, source_id, provider_type AS exclusion_type, coalesce(source_record_id, medicaid_provider_id, '') AS record,
+         CASE WHEN starts_with(source_id, 'hawaii_medquest') THEN 'state_medicaid' WHEN starts_with(source_id, 'hawaii_dcca') THEN 'state_license'
+              WHEN starts_with(source_id, 'sam_gov') THEN 'sam_gov' ELSE 'hhs_oig' END AS authority,
+         {_DATE('exclusion_date')} AS excluded_at, {_DATE('reinstatement_date')} AS reinstated_at,
+         coalesce(indefinite_exclusion, false) AS indefinite, nullif(upper(trim(ex.state)), '') AS state
+  FROM (SELECT *, CASE WHEN {_NPI_OK} THEN trim(npi) END AS good FROM ex) ex
+  JOIN member m ON m.name = ex.person_or_entity_name AND m.npi IS NOT DISTINCT FROM ex.good AND m.state IS NOT DISTINCT FROM upper(trim(ex.state)) JOIN member_ids USING (cluster)),
+gev AS (SELECT *, CASE WHEN indefinite THEN 'indefinite' WHEN reinstated_at IS NOT NULL THEN 'reinstated' ELSE 'active' END AS status,
+               substr(sha256(concat_ws('|', entity_id, authority, coalesce(strftime(excluded_at, '%Y-%m-%dT%H:%M:%S'), ''), record)), 1, 32) AS event_id
+        FROM gev0 WHERE excluded_at IS NOT NULL OR reinstated_at IS NOT NULL)"""
+_CANDIDATES = f"""candidate AS (SELECT entity_a, entity_b, confidence, signals FROM (
+    SELECT least(x.entity_id, y.entity_id) AS entity_a, greatest(x.entity_id, y.entity_id) AS entity_b, round(s, 4) AS confidence, {_FIRED} AS signals,
+           row_number() OVER (PARTITION BY least(x.entity_id, y.entity_id), greatest(x.entity_id, y.entity_id) ORDER BY round(s, 4) DESC, i, j) AS rn
+    FROM scored JOIN member a ON a.idx = i JOIN member b ON b.idx = j JOIN member_ids x ON x.cluster = a.cluster JOIN member_ids y ON y.cluster = b.cluster
+    WHERE s < 0.9 AND x.entity_id <> y.entity_id) c
+  WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM last l WHERE l.entity_a = c.entity_a AND l.entity_b = c.entity_b AND verdict = 'reject'))"""
 _SCORE_DATE = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"
 
 SQL = {
@@ -269,29 +422,23 @@ SQL = {
         FROM (SELECT entity_id, {_NORM('canonical_name')} AS norm FROM ent WHERE canonical_name IS NOT NULL)""",
     "phonetic_key_counts": f"""WITH {_ENT}, words AS (SELECT entity_id, unnest(string_split({_NORM('canonical_name')}, ' ')) AS w FROM ent WHERE canonical_name IS NOT NULL), {_PHONETIC}
         SELECT key AS phonetic_key, count(DISTINCT entity_id) AS n FROM keys WHERE length(w) > 1 GROUP BY 1""",
-    "name_pair_scores": f"""WITH rec AS (
-          SELECT person_or_entity_name AS name, CASE WHEN {_NPI_OK} THEN trim(npi) END AS npi, upper(trim(state)) AS state, min(row_id) AS idx
-          FROM exclusions WHERE person_or_entity_name IS NOT NULL GROUP BY 1, 2, 3),
-        feat AS (SELECT *, {_NORM('name')} AS norm FROM rec),
-        words AS (SELECT idx, unnest(list_distinct(string_split(norm, ' '))) AS w FROM feat WHERE norm <> ''), {_PHONETIC},
-        kk AS (SELECT DISTINCT idx, key FROM keys WHERE length(w) > 1),
-        ok AS (SELECT key FROM kk GROUP BY key HAVING count(*) BETWEEN 2 AND 400),
-        sets AS (SELECT f.*, list_distinct(list_filter(string_split(norm, ' '), lambda t: t <> '')) AS ws,
-                        coalesce((SELECT list(key) FROM kk WHERE kk.idx = f.idx), []) AS ks FROM feat f),
-        pairs AS (SELECT DISTINCT a.idx AS i, b.idx AS j FROM kk a JOIN ok USING (key) JOIN kk b ON a.key = b.key AND a.idx < b.idx),
-        sim AS (SELECT i, j, a.norm AS x, b.norm AS y,
-            len(list_intersect(a.ws, b.ws)) AS wi, len(list_distinct(a.ws || b.ws)) AS wu, least(len(a.ws), len(b.ws)) AS wm,
-            len(list_intersect(a.ks, b.ks)) AS ki, len(list_distinct(a.ks || b.ks)) AS ku,
-            CASE WHEN lower(a.state) = lower(b.state) THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS bonus
-          FROM pairs JOIN sets a ON a.idx = i JOIN sets b ON b.idx = j
-          WHERE a.norm <> b.norm AND NOT (a.npi IS NOT NULL AND b.npi IS NOT NULL AND a.npi <> b.npi)),
-        parts AS (SELECT i, j, bonus, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS edit,
-            greatest(CASE WHEN wu > 0 THEN wi::DOUBLE / wu ELSE 0 END, 0.9::DOUBLE * CASE WHEN wm > 0 THEN wi::DOUBLE / wm ELSE 0 END) AS token,
-            CASE WHEN ku > 0 THEN ki::DOUBLE / ku ELSE 0 END AS phon FROM sim),
-        scored AS (SELECT *, least(1::DOUBLE, 0.6::DOUBLE * edit + 0.25::DOUBLE * token + 0.15::DOUBLE * phon + bonus) AS s FROM parts)
-        SELECT i, j, round(s, 4) AS score, array_to_string(list_filter([CASE WHEN edit > 0.6 THEN 'name_edit_distance' END, CASE WHEN token > 0.5 THEN 'name_token_overlap' END,
-            CASE WHEN phon > 0.5 THEN 'name_phonetic' END, CASE WHEN bonus > 0 THEN 'state_match' END], lambda v: v IS NOT NULL), ',') AS signals
-        FROM scored WHERE s >= 0.72""",
+    "name_pair_scores": f"""WITH {_PAIRS} SELECT i, j, round(s, 4) AS score, {_FIRED} AS signals FROM scored""",
+    "resolved_clusters": f"WITH RECURSIVE {_PAIRS}, {_BASE} SELECT cluster, count(*) AS n_records FROM base GROUP BY 1",
+    "graph_entities": f"""WITH RECURSIVE {_GRAPH}, {_ENTITY} SELECT * FROM entity""",
+    "graph_events": f"""WITH RECURSIVE {_GRAPH}, {_GRAPH_EVENTS}
+        SELECT event_id, entity_id, authority, exclusion_type, strftime(excluded_at, '%Y-%m-%d %H:%M:%S') AS excluded_at,
+               strftime(reinstated_at, '%Y-%m-%d %H:%M:%S') AS reinstated_at, status, state, source_id FROM gev""",
+    "graph_candidates": f"""WITH RECURSIVE {_GRAPH}, {_CANDIDATES} SELECT * FROM candidate""",
+    "graph_meta": f"""WITH RECURSIVE {_GRAPH}, {_GRAPH_EVENTS}, {_CANDIDATES}
+        SELECT (SELECT count(*) FROM member) AS party_count, (SELECT count(*) - count(DISTINCT cluster) FROM member) AS merge_count,
+               (SELECT count(DISTINCT cluster) FROM member) AS entity_count,
+               (SELECT string_agg(DISTINCT state, ',' ORDER BY state) FROM (SELECT state FROM member WHERE trim(state) <> '' GROUP BY cluster, state QUALIFY {_TOP('state')})) AS jurisdiction_coverage,
+               (SELECT count(*) FROM gev) AS exclusion_event_count, (SELECT count(*) FROM candidate) AS candidate_count,
+               (SELECT string_agg(DISTINCT source_id, ',' ORDER BY source_id) FROM exclusions WHERE trim(person_or_entity_name) <> '') AS sources_ingested""",
+    "confirmed_clusters": f"WITH RECURSIVE {_GRAPH} SELECT cluster, count(*) AS n_parties, sum(n)::BIGINT AS n_rows FROM member GROUP BY 1",
+    "cohorts_address": f"WITH {_REG}, {_EXCLUDED}, {_COHORT('address')} SELECT * FROM cohort_address",
+    "cohorts_phone": f"WITH {_REG}, {_EXCLUDED}, {_COHORT('phone')} SELECT * FROM cohort_phone",
+    "cohorts_both": f"WITH {_REG}, {_EXCLUDED}, {_COHORT('address', 'phone')} SELECT * FROM cohort_address_phone",
     "best_candidates": f"WITH {_BEST} SELECT * FROM best",
     "latest_verdicts": f"WITH {_LAST} SELECT entity_a, entity_b, log_pos, verdict FROM last",
     "rejected_removed": f"WITH {_BEST}, {_LAST} SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.entity_a = b.entity_a AND l.entity_b = b.entity_b AND verdict = 'reject')",

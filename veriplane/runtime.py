@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -36,12 +37,15 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests, a laptop) a folder of our own is
-    made, and removed again at exit.
+    Only where that setting is missing and all executors run on this machine (tests, a laptop) a folder of
+    our own is made, and removed again at exit; on a cluster a missing setting is an error, as tables
+    written to a machine's own disk could not be read back whole.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="veriplane-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -66,13 +70,53 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by ``stored``; for tables no later result reads."""
-    path = df.stored_path
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _MADE.pop(path, None)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored``; for tables no later result reads."""
+    for df in tables:
+        system, target = file_system(df.sparkSession, df.stored_path)
+        system.delete(target, True)
+        _MADE.pop(df.stored_path, None)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it wants it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = file_system(spark, path)
+    return system.exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file; one that is already there is an error."""
+    system, target = file_system(spark, path)
+    out = system.create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_texts(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """The texts of the small files of a folder with that ending, in the order of their names."""
+    system, target = file_system(spark, folder)
+    if not system.exists(target):
+        return []
+    found = sorted((s.getPath() for s in system.listStatus(target) if s.getPath().getName().endswith(ending)), key=lambda p: p.getName())
+    io, out = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils, []
+    for file in found:
+        stream = system.open(file)
+        try:
+            out.append(bytes(io.readFullyToByteArray(stream)).decode())
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                raise ValueError(f"{file.getName()} does not match its checksum") from None
+            raise
+        finally:
+            stream.close()
+    return out
 
 
 def drop_all() -> None:

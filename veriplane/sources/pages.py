@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriplane.functions.keys import rfc3339_or_us_date
+
 # Labels of a record and their fields; boards and sanctions of interest.
 LABELS = {"respondent:": "name", "case number:": "case", "sanction:": "sanction", "effective date:": "date"}
 NOT_HEADINGS = "RESPONDENT|CASE|SANCTION|EFFECTIVE|RICO"
@@ -33,7 +35,7 @@ def text_lines(pages: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def licence_records(lines: DataFrame, key: str) -> DataFrame:
-    """Serious actions of health boards: (<key>, name, board, case, sanction, date), one per respondent.
+    """Serious actions of health boards: (<key>, record, name, board, case, sanction, date), one per respondent.
 
     The nearest all-caps heading above is the board; a label's value stands behind it or on the next line.
     """
@@ -62,4 +64,21 @@ def licence_records(lines: DataFrame, key: str) -> DataFrame:
     )
     health = F.col("board").rlike(f"(?i){HEALTH_BOARDS}") & ~F.col("board").rlike("(?i)VETERINARY")
     name = F.upper(F.trim(F.element_at(F.split("name", r"(?i)\b(?:fka|aka|dba|nka)\b"), 1)))
-    return records.where(health & F.coalesce(F.col("sanction").rlike(f"(?i){SERIOUS}"), F.lit(False))).select(key, name.alias("name"), "board", "case", "sanction", "date").where("name <> ''")
+    return records.where(health & F.coalesce(F.col("sanction").rlike(f"(?i){SERIOUS}"), F.lit(False))).select(key, "record", name.alias("name"), "board", "case", "sanction", "date").where("name <> ''")
+
+
+def licence_exclusions(records: DataFrame, key: str, source_id: str, state: str, snapshot: str = "") -> DataFrame:
+    """Licence actions in the common exclusion schema; of rows of one name and date the first page's counts.
+
+    The date is the first d-d-yy or d-d-yyyy token (dashes or slashes; two digits mean 1970-2069); a
+    revocation is indefinite.
+    """
+    token = F.translate(F.regexp_extract("date", r"[0-9]{1,2}[-/][0-9]{1,2}[-/](?:[0-9]{4}|[0-9]{2})", 0), "-", "/")
+    rows = records.select(
+        F.col("name").alias("person_or_entity_name"), F.lit(None).cast("string").alias("npi"), F.lit(state).alias("state"),
+        F.date_format(rfc3339_or_us_date(token), "yyyy-MM-dd'T'00:00:00+00:00").alias("exclusion_date"), F.lit(None).cast("string").alias("reinstatement_date"),
+        F.lit(source_id).alias("source_id"), F.nullif("case", F.lit("")).alias("source_record_id"), F.substring(F.concat_ws(" — ", "board", "sanction"), 1, 200).alias("provider_type"),
+        F.col("sanction").rlike("(?i)revoc|revoke").alias("indefinite_exclusion"), F.lit(snapshot).alias("source_snapshot_hash"), F.col(key).alias("_page"), "record",
+    )
+    first = Window.partitionBy("person_or_entity_name", "exclusion_date").orderBy("_page", "record")
+    return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_page", "record")
