@@ -49,8 +49,8 @@ def pair_of(a: Column, b: Column) -> tuple[Column, Column]:
 def fnv1a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of the bytes of a text."""
     digits = F.hex(F.encode(text, "UTF-8"))
-    places = F.sequence(F.lit(0), F.length(digits) / 2 - 1)
-    octets = F.when(F.length(digits) > 0, F.transform(places, lambda i: F.conv(F.substr(digits, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long")))
+    places = F.sequence(F.lit(1), F.length(digits), F.lit(2))
+    octets = F.when(F.length(digits) > 0, F.transform(places, lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long")))
     mask = F.lit(0xFFFFFFFF).cast("long")
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(mask)
     start = F.lit(2166136261).cast("long")

@@ -49,6 +49,13 @@ def parse_report(records: DataFrame, group: str, name: str, date: str, expected:
     return counted.select("*", drifted.alias("drifted"), overall.alias("confidence")).withColumn("trustworthy", (F.col("confidence") >= trusted) & ~F.col("drifted"))
 
 
+def calibrate(judged: DataFrame, kind: str, right: Column, wrong: Column) -> DataFrame:
+    """``(<kind>, n_true, n_false, precision)``: how often each kind was judged right; no precision without a verdict."""
+    counts = judged.groupBy(kind).agg(F.count_if(right).alias("n_true"), F.count_if(wrong).alias("n_false"))
+    total = F.col("n_true") + F.col("n_false")
+    return counts.withColumn("precision", F.when(total > 0, F.round(F.col("n_true") / total, 6)))
+
+
 def failure_runs(log: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
     """``(<key>, longest_run)``: the longest run of consecutive failures of each key in log order."""
     w = Window.partitionBy(key).orderBy(order)

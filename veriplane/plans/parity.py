@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriplane.functions.codes import valid_npi
-from veriplane.functions.keys import address_key, pair_of, phone_key, rfc3339_or_us_date
+from veriplane.functions.keys import address_key, first_npi, fnv1a, pair_of, phone_key, rfc3339_or_us_date
 from veriplane.functions.names import NOISE_TOKENS, ORG_TOKENS, entity_type, normalize_name, phonetic_keys
 from veriplane.operators.correlation import correlate
 from veriplane.operators.events import build_events, event_profile
 from veriplane.operators.graph import active_cohorts, build_graph, registry_rows
 from veriplane.operators.places import cohorts, colocated_counts
-from veriplane.operators.quality import failure_runs, fingerprint, parse_score
+from veriplane.operators.quality import calibrate, failure_runs, fingerprint, header_share, parse_report, parse_score
 from veriplane.operators.resolution import latest, modal, pair_scores, resolve
 from veriplane.operators.snapshots import snapshot_changes
 from veriplane.plans.general import SQL as GENERAL_SQL
 from veriplane.runtime import table
+from veriplane.sources.fetch import remaining
+from veriplane.sources.lists import first_rows
+from veriplane.sources.pages import HEALTH_BOARDS, licence_exclusions, licence_records, text_lines
 
 
 def _entities(spark, folder):
@@ -151,9 +154,14 @@ def modal_names(spark: SparkSession, folder: str) -> DataFrame:
     return modal(rows, "npi", "name")
 
 
+def _party(name, npi):
+    """Key of a party without resolution: its valid number, else ``name:`` and its normal name."""
+    return F.coalesce(F.when(valid_npi(npi), F.trim(npi)), F.concat(F.lit("name:"), F.coalesce(normalize_name(name), F.lit(""))))
+
+
 def _events(spark, folder):
-    rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"]).where(valid_npi(F.col("npi")))
-    return build_events(rows, F.trim("npi"))
+    rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"])
+    return build_events(rows, _party(F.col("person_or_entity_name"), F.col("npi")))
 
 
 def event_status_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,15 +172,21 @@ def event_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return event_profile(_events(spark, folder)).select("entity_id", "n_exclusions", "n_reinstatements", "n_states", "states", "tiers", "excluded_now")
 
 
+def event_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """First and last exclusion of each party, by day."""
+    profile = event_profile(_events(spark, folder))
+    return profile.select("entity_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_excluded", "last_excluded")])
+
+
 def multi_tier_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities on record with two or more independent oversight tiers."""
+    """Parties on record with two or more independent oversight tiers."""
     return event_profile(_events(spark, folder)).where(F.size(F.split("tiers", ",")) >= 2).select("entity_id", "tiers")
 
 
 def entity_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per valid number: rows, distinct sources and states, first and last arrival."""
-    rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"]).where(valid_npi(F.col("npi")))
-    return rows.groupBy(F.trim("npi").alias("npi")).agg(
+    """One row per party: rows, distinct sources and states, first and last arrival."""
+    rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"])
+    return rows.groupBy(_party(F.col("person_or_entity_name"), F.col("npi")).alias("party")).agg(
         F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"),
         F.count_distinct(F.upper(F.trim("state"))).alias("n_states"), F.min("arrived_at").alias("first_arrival"), F.max("arrived_at").alias("last_arrival"),
     )
@@ -256,11 +270,17 @@ def text_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def union_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """The list, extract and state sources put together; a column that one lacks is null."""
+    """All sources put together, a part for each kind of list; a column that one lacks is null."""
     rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"])
-    part = lambda prefix, *cols: rows.where(F.col("source_id").startswith(prefix)).select("row_id", "source_id", *cols)
-    out = part("leie", "npi", "state").unionByName(part("sam_gov", "npi"), allowMissingColumns=True).unionByName(part("hawaii", "state"), allowMissingColumns=True)
-    return out.select("row_id", "source_id", "npi", "state")
+    kinds = {"leie": [], "sam_gov": ["state", "medicaid_provider_id"], "hawaii": ["npi"]}  # and what each kind of list does not carry
+    listed = F.lit(False)
+    out = None
+    for prefix, lacking in kinds.items():
+        mine = F.coalesce(F.col("source_id").startswith(prefix), F.lit(False))
+        part = rows.where(mine).drop(*lacking)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        listed = listed | mine
+    return out.unionByName(rows.where(~listed)).drop("arrived_at", "observed_at")
 
 
 def source_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,18 +292,109 @@ def source_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jurisdiction_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities of one state, by their own or by any of their exclusion rows."""
-    states = table(spark, folder, "exclusions").where("npi is not null").select(F.trim("npi").alias("npi"), F.upper(F.trim("state")).alias("s")).where("s = 'HI'").select("npi").distinct()
-    rows = _entities(spark, folder).select("entity_id", F.upper("canonical_state").alias("state"), F.explode_outer("npis").alias("npi"))
-    hit = rows.join(states.withColumn("hit", F.lit(True)), "npi", "left")
+    """Entities of one state, by their own or by any of their exclusion rows, which they share a number or a name with."""
+    rows = table(spark, folder, "exclusions").where("upper(trim(state)) = 'HI'")
+    keys = rows.select(F.explode(F.array(F.trim("npi"), F.concat(F.lit("name:"), normalize_name(F.col("person_or_entity_name"))))).alias("key")).where("key is not null and key <> 'name:'").distinct()
+    own = F.when(F.startswith("entity_id", F.lit("name:")), F.array(F.concat(F.lit("name:"), normalize_name(F.substr("entity_id", F.lit(6)))))).otherwise(F.array().cast("array<string>"))
+    known = _entities(spark, folder).select("entity_id", F.upper("canonical_state").alias("state"), F.explode_outer(F.concat(F.coalesce("npis", F.array().cast("array<string>")), own)).alias("key"))
+    hit = known.join(keys.withColumn("hit", F.lit(True)), "key", "left")
     return hit.groupBy("entity_id").agg(F.bool_or((F.coalesce("state", F.lit("")) == "HI") | F.coalesce("hit", F.lit(False))).alias("inside")).where("inside").select("entity_id")
 
 
+def _verdict_counts(spark, folder):
+    """Per signal type: pairs with that signal whose last verdict is confirm, and reject; and the share that confirm."""
+    a, b = pair_of(F.col("entity_a"), F.col("entity_b"))
+    fired = table(spark, folder, "link_candidates").where("entity_a <> entity_b").select(a.alias("entity_a"), b.alias("entity_b"), F.explode("signals").alias("signal_type")).distinct()
+    judged = fired.join(latest_verdicts(spark, folder).select("entity_a", "entity_b", "verdict"), ["entity_a", "entity_b"])
+    return calibrate(judged, "signal_type", F.col("verdict") == "confirm", F.col("verdict") == "reject")
+
+
+def signal_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each signal was right, by the verdicts, with a line to print."""
+    counts = _verdict_counts(spark, folder)
+    return counts.withColumn("line", F.format_string("%s: %d of %d confirmed", "signal_type", "n_true", F.col("n_true") + F.col("n_false")))
+
+
+def calibrated_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate pairs with the best calibrated precision among their signals; signals without verdicts have none."""
+    a, b = pair_of(F.col("entity_a"), F.col("entity_b"))
+    fired = table(spark, folder, "link_candidates").where("entity_a <> entity_b").select(a.alias("entity_a"), b.alias("entity_b"), F.explode_outer("signals").alias("signal_type")).distinct()
+    known = _verdict_counts(spark, folder).select("signal_type", "precision")
+    return fired.join(known, "signal_type", "left").groupBy("entity_a", "entity_b").agg(F.count("signal_type").alias("n_signals"), F.max("precision").alias("best_precision"))
+
+
+def ranked_owner_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """A report of the ten strongest findings: those whose state agrees first, then the most rows."""
+    return owner_correlation(spark, folder).orderBy(F.desc("state_agrees"), F.desc("owned_rows"), "entity_id").limit(10).select("entity_id", "state_agrees", "owned_rows")
+
+
+def uncorroborated_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """How many findings rest on an individual's name alone, by entity type."""
+    return owner_correlation(spark, folder).groupBy("entity_type").agg(F.count("*").alias("n"), F.count_if(~F.col("state_agrees")).alias("n_name_only"))
+
+
+def provider_types(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "owners").where("provider_type is not null").groupBy("provider_type").agg(F.count("*").alias("n_rows")).orderBy("provider_type")
+
+
+def first_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three edges of each provider type, as a limit per type gives them."""
+    return first_rows(table(spark, folder, "owners").select("provider_type", "edge_id", "owner_name").distinct(), ["provider_type"], ["edge_id"], 3)
+
+
+def name_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return _entities(spark, folder).select("entity_id", fnv1a(normalize_name(F.col("canonical_name"))).alias("hash"))
+
+
+def embedded_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first number of ten digits in each raw line."""
+    return table(spark, folder, "raw_records").select("record_id", first_npi(F.col("raw_line")).alias("number")).where("number is not null").distinct()
+
+
+def text_line_counts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = text_lines(table(spark, folder, "documents"), "doc_id", "text")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def header_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents of a kind name a Case, as a header would."""
+    return header_share(table(spark, folder, "documents"), "doc_kind", "text", "Case")
+
+
+def parse_reports(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "exclusions").dropDuplicates(["row_id"])
+    return parse_report(rows, "source_id", "person_or_entity_name", "exclusion_date", (100, 100_000))
+
+
+def unseen_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of the last run that no earlier run had: what a resumed job has left to do."""
+    lines = table(spark, folder, "signal_rows").where("coalesce(signal_id, '') <> '' and run_no is not null").select("run_no", "signal_id").distinct()
+    last = lines.agg(F.max("run_no").alias("last"))  # one row
+    marked = lines.join(F.broadcast(last), F.col("run_no") <= F.col("last"))
+    return remaining(marked.where("run_no = last").select("signal_id"), marked.where("run_no < last"), "signal_id")
+
+
+def licence_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every exclusion row rendered as a licence page and read back: boards, labels, aliases, sanctions and dates."""
+    rows = table(spark, folder, "exclusions").where("trim(person_or_entity_name) <> ''").dropDuplicates(["row_id"])
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(
+        F.lit("<h2>BOARD OF "), F.upper(safe(F.col("provider_type"))), F.lit(" MEDICINE</h2><p>Respondent: "), safe(F.col("person_or_entity_name")),
+        F.lit("</p><p>Case Number:</p><p>C-"), F.col("row_id").cast("string"), F.lit("</p><p>Sanction: "),
+        F.when(F.col("indefinite_exclusion"), "License revoked").when(F.col("indefinite_exclusion").isNull(), "Fine").otherwise("Suspension"), F.lit("</p><p>Effective Date: 3-04-"),
+        F.lpad((F.col("row_id") % 100).cast("string"), 2, "0"), F.lit("</p>"),
+    )
+    records = licence_records(text_lines(rows.select("row_id", page.alias("html")), "row_id", "html"), "row_id")
+    return licence_exclusions(records, "row_id", "hawaii_dcca_actions", "HI").select("person_or_entity_name", "exclusion_date", "source_record_id", "provider_type", "indefinite_exclusion")
+
+
 _FUNCTIONS = [
     normalize_names, phonetic_key_counts, name_pair_scores, resolved_clusters, best_candidates, latest_verdicts, rejected_removed, review_queue,
     top_candidates, modal_names, event_status_counts, event_profiles, multi_tier_entities, entity_rollup, excluded_registry_rows, unmatched_exclusions,
     phone_cohorts, shared_locations, owner_correlation, verdict_calibration, rejection_runs, run_changes, run_totals, address_keys, phone_keys,
     normalized_dates, parse_quality, text_fingerprints, union_sources, source_statistics, jurisdiction_entities,
+    event_spans, signal_calibration, calibrated_candidates, ranked_owner_findings, uncorroborated_owners, provider_types, first_edges, name_hashes, embedded_numbers,
+    text_line_counts, header_shares, parse_reports, unseen_signals, licence_round_trip,
     graph_entities, graph_events, graph_candidates, graph_meta, confirmed_clusters, cohorts_address, cohorts_phone, cohorts_both,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -303,13 +414,14 @@ _DATE = lambda c: f"""coalesce(  -- noqa
   CASE WHEN regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ][0-9]{{2}}:[0-9]{{2}}.*([Zz]|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN try_cast(upper({c}) AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END,
   CASE WHEN regexp_full_match({c}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN try_strptime({c}, '%m/%d/%Y')
        WHEN regexp_full_match({c}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}') THEN try_strptime(regexp_replace({c}, '/([0-9]{{2}})$', CASE WHEN right({c}, 2) >= '70' THEN '/19\\1' ELSE '/20\\1' END), '%m/%d/%Y') END)""".replace("  -- noqa", "")
+_PARTY = f"CASE WHEN {_NPI_OK} THEN trim(npi) ELSE 'name:' || coalesce({_NORM('person_or_entity_name')}, '') END"
 _EVENTS = f"""{_EX}, ev0 AS (
-  SELECT trim(npi) AS entity_id,
+  SELECT {_PARTY} AS entity_id,
          CASE WHEN starts_with(source_id, 'hawaii_medquest') THEN 'state_medicaid' WHEN starts_with(source_id, 'hawaii_dcca') THEN 'state_license'
               WHEN starts_with(source_id, 'sam_gov') THEN 'sam_gov' ELSE 'hhs_oig' END AS authority,
          {_DATE('exclusion_date')} AS excluded_at, {_DATE('reinstatement_date')} AS reinstated_at,
          coalesce(indefinite_exclusion, false) AS indefinite, nullif(trim(state), '') AS state
-  FROM ex WHERE {_NPI_OK}),
+  FROM ex),
 ev AS (SELECT *, CASE WHEN indefinite THEN 'indefinite' WHEN reinstated_at IS NOT NULL THEN 'reinstated' ELSE 'active' END AS status,
               CASE WHEN authority IN ('hhs_oig', 'sam_gov') THEN 'federal' WHEN authority = 'state_medicaid' THEN 'state Medicaid' ELSE 'state licensing' END AS tier
        FROM ev0 WHERE excluded_at IS NOT NULL OR reinstated_at IS NOT NULL)"""
@@ -415,6 +527,10 @@ _CANDIDATES = f"""candidate AS (SELECT entity_a, entity_b, confidence, signals F
     FROM scored JOIN member a ON a.idx = i JOIN member b ON b.idx = j JOIN member_ids x ON x.cluster = a.cluster JOIN member_ids y ON y.cluster = b.cluster
     WHERE s < 0.9 AND x.entity_id <> y.entity_id) c
   WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM last l WHERE l.entity_a = c.entity_a AND l.entity_b = c.entity_b AND verdict = 'reject'))"""
+_CALIBRATION = f"""{_LAST}, fired AS (SELECT DISTINCT a, b, t FROM (SELECT least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b, unnest(signals) AS t FROM link_candidates WHERE entity_a <> entity_b)),
+  cal AS (SELECT t AS signal_type, count(*) FILTER (verdict = 'confirm') AS n_true, count(*) FILTER (verdict = 'reject') AS n_false,
+      round(count(*) FILTER (verdict = 'confirm')::DOUBLE / nullif(count(*) FILTER (verdict IN ('confirm', 'reject')), 0), 6) AS precision
+    FROM fired JOIN last ON entity_a = a AND entity_b = b GROUP BY 1)"""
 _SCORE_DATE = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"
 
 SQL = {
@@ -451,8 +567,9 @@ SQL = {
     "event_status_counts": f"WITH {_EVENTS} SELECT authority, status, count(*) AS n, count(excluded_at) AS n_excluded, count(reinstated_at) AS n_reinstated FROM ev GROUP BY 1, 2",
     "event_profiles": f"WITH {_PROFILE} SELECT * FROM prof",
     "multi_tier_entities": f"WITH {_PROFILE} SELECT entity_id, tiers FROM prof WHERE contains(tiers, ',')",
-    "entity_rollup": f"""WITH {_EX} SELECT trim(npi) AS npi, count(*) AS n_rows, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources,
-        count(DISTINCT upper(trim(state))) AS n_states, min(arrived_at) AS first_arrival, max(arrived_at) AS last_arrival FROM ex WHERE {_NPI_OK} GROUP BY 1""",
+    "entity_rollup": f"""WITH {_EX} SELECT {_PARTY} AS party, count(*) AS n_rows, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources,
+        count(DISTINCT upper(trim(state))) AS n_states, min(arrived_at) AS first_arrival, max(arrived_at) AS last_arrival FROM ex GROUP BY 1""",
+    "event_spans": f"WITH {_EVENTS} SELECT entity_id, strftime(min(excluded_at), '%Y-%m-%d') AS first_excluded, strftime(max(excluded_at), '%Y-%m-%d') AS last_excluded FROM ev GROUP BY 1",
     "excluded_registry_rows": f"""WITH {_ENT}, pairs AS (SELECT entity_id, unnest(npis) AS npi, npi_active FROM ent)
         SELECT entity_id, npi, npi_active FROM pairs WHERE npi IN (SELECT trim(npi) FROM exclusions WHERE npi IS NOT NULL)""",
     "unmatched_exclusions": """SELECT DISTINCT row_id, trim(npi) AS npi FROM exclusions WHERE npi IS NOT NULL AND trim(npi) NOT IN (SELECT n FROM (SELECT unnest(npis) AS n FROM entities) WHERE n IS NOT NULL)""",
@@ -484,10 +601,48 @@ SQL = {
         SELECT source_id, count(*) AS n_rows, count(*) FILTER (score >= 0.7::DOUBLE) AS n_reliable, round(avg(score), 6) AS mean_score FROM s GROUP BY 1""",
     "text_fingerprints": f"""WITH p AS (SELECT doc_kind, len(string_split(text, chr(10))) AS l, len(regexp_extract_all(text, '{_SCORE_DATE}')) AS d FROM documents WHERE text IS NOT NULL)
         SELECT doc_kind, count(*) AS n_pages, sum(l)::BIGINT AS n_lines, round(avg(l), 6) AS lines_per_page, round(sum(d)::DOUBLE / sum(l), 6) AS dates_per_line FROM p GROUP BY 1""",
-    "union_sources": f"""WITH {_EX} SELECT row_id, source_id, CASE WHEN NOT starts_with(source_id, 'hawaii') THEN npi END AS npi, CASE WHEN NOT starts_with(source_id, 'sam_gov') THEN state END AS state
-        FROM ex WHERE starts_with(source_id, 'leie') OR starts_with(source_id, 'sam_gov') OR starts_with(source_id, 'hawaii')""",
+    "union_sources": f"""WITH {_EX} SELECT * EXCLUDE (arrived_at, observed_at) REPLACE (
+        CASE WHEN NOT starts_with(source_id, 'hawaii') THEN npi END AS npi, CASE WHEN NOT starts_with(source_id, 'sam_gov') THEN state END AS state,
+        CASE WHEN NOT starts_with(source_id, 'sam_gov') THEN medicaid_provider_id END AS medicaid_provider_id) FROM ex""",
     "source_statistics": f"""SELECT source_id, count(*) AS n_rows, count(*) FILTER ({_NPI_OK}) AS n_valid_npi, count(*) FILTER (indefinite_exclusion) AS n_indefinite,
         count(*) FILTER (coalesce(trim(person_or_entity_name), '') = '') AS n_nameless FROM exclusions GROUP BY 1""",
-    "jurisdiction_entities": f"""WITH {_ENT} SELECT entity_id FROM ent WHERE upper(canonical_state) = 'HI'
-        OR list_has_any(npis, (SELECT list(DISTINCT trim(npi)) FROM exclusions WHERE npi IS NOT NULL AND upper(trim(state)) = 'HI'))""",
+    "jurisdiction_entities": f"""WITH {_ENT}, k AS (
+          SELECT trim(npi) AS key FROM exclusions WHERE upper(trim(state)) = 'HI' UNION SELECT 'name:' || {_NORM('person_or_entity_name')} FROM exclusions WHERE upper(trim(state)) = 'HI'),
+        good AS (SELECT key FROM k WHERE key IS NOT NULL AND key <> 'name:')
+        SELECT entity_id FROM ent WHERE coalesce(upper(canonical_state) = 'HI', false) OR coalesce(list_has_any(npis, (SELECT list(key) FROM good)), false)
+          OR (starts_with(entity_id, 'name:') AND 'name:' || {_NORM('substr(entity_id, 6)')} IN (SELECT key FROM good))""",
+    "signal_calibration": f"""WITH {_CALIBRATION} SELECT *, printf('%s: %d of %d confirmed', signal_type, n_true, n_true + n_false) AS line FROM cal""",
+    "calibrated_candidates": f"""WITH {_CALIBRATION}, every AS (SELECT DISTINCT a, b, t FROM (
+          SELECT least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b, unnest(CASE WHEN len(signals) > 0 THEN signals ELSE [NULL] END) AS t FROM link_candidates WHERE entity_a <> entity_b))
+        SELECT a AS entity_a, b AS entity_b, count(t) AS n_signals, max(precision) AS best_precision FROM every LEFT JOIN cal ON signal_type = t GROUP BY 1, 2""",
+    "provider_types": "SELECT provider_type, count(*) AS n_rows FROM owners WHERE provider_type IS NOT NULL GROUP BY 1",
+    "first_edges": """SELECT provider_type, edge_id, owner_name FROM (SELECT *, row_number() OVER (PARTITION BY provider_type ORDER BY edge_id) AS rn
+        FROM (SELECT DISTINCT provider_type, edge_id, owner_name FROM owners)) WHERE rn <= 3""",
+    "name_hashes": f"""WITH {_ENT} SELECT entity_id, CASE WHEN canonical_name IS NOT NULL THEN list_reduce(list_prepend(2166136261::BIGINT,
+        list_transform(list_filter(string_split({_NORM('canonical_name')}, ''), lambda c: c <> ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) END AS hash FROM ent""",
+    "embedded_numbers": r"""SELECT DISTINCT * FROM (SELECT record_id, nullif(regexp_extract(raw_line, '\b[0-9]{10}\b'), '') AS number FROM raw_records) WHERE number IS NOT NULL""",
+    "text_line_counts": r"""SELECT doc_id, len(l) AS n_lines, list_sum(list_transform(l, lambda x: length(x)))::BIGINT AS n_chars FROM (
+          SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '<[^>]+>', chr(10), 'g'), '[\r\n]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l
+          FROM documents) WHERE len(l) > 0""",
+    "header_shares": """SELECT doc_kind, count(*) AS n_pages, count(*) FILTER (contains(text, 'Case')) AS n_with_header, round(count(*) FILTER (contains(text, 'Case'))::DOUBLE / count(*), 6) AS header_share
+        FROM documents WHERE text IS NOT NULL GROUP BY 1""",
+    "unseen_signals": """WITH s AS (SELECT DISTINCT run_no, signal_id FROM signal_rows WHERE coalesce(signal_id, '') <> '' AND run_no IS NOT NULL), m AS (SELECT max(run_no) AS last FROM s)
+        SELECT signal_id FROM s, m WHERE run_no = last AND signal_id NOT IN (SELECT signal_id FROM s, m WHERE run_no < last)""",
+    "licence_round_trip": rf"""WITH {_EX}, line AS (
+          SELECT row_id, trim(regexp_replace('BOARD OF ' || upper(coalesce(provider_type, '')) || ' MEDICINE', '\s+', ' ', 'g')) AS board,
+                 upper(trim(regexp_replace(trim(regexp_replace(person_or_entity_name, '\s+', ' ', 'g')), '(?i)\b(fka|aka|dba|nka)\b.*$', ''))) AS person_or_entity_name,
+                 'C-' || row_id AS source_record_id, CASE WHEN indefinite_exclusion THEN 'License revoked' WHEN indefinite_exclusion IS NULL THEN 'Fine' ELSE 'Suspension' END AS sanction,
+                 CASE WHEN row_id % 100 >= 70 THEN 1900 ELSE 2000 END + row_id % 100 AS y FROM ex WHERE trim(person_or_entity_name) <> ''),
+        kept AS (SELECT *, y || '-03-04T00:00:00+00:00' AS exclusion_date FROM line WHERE sanction <> 'Fine' AND person_or_entity_name <> ''
+                 AND regexp_matches(board, '(?i){HEALTH_BOARDS}') AND NOT regexp_matches(board, '(?i)VETERINARY'))
+        SELECT person_or_entity_name, exclusion_date, source_record_id, substr(concat_ws(' — ', board, sanction), 1, 200) AS provider_type, sanction = 'License revoked' AS indefinite_exclusion
+        FROM kept QUALIFY row_number() OVER (PARTITION BY person_or_entity_name, exclusion_date ORDER BY row_id) = 1""",
 }
+_SCORED = SQL["parse_quality"].split("SELECT source_id, count(*)")[0]
+SQL |= {
+    "ranked_owner_findings": f"SELECT entity_id, state_agrees, owned_rows::BIGINT AS owned_rows FROM ({SQL['owner_correlation']}) ORDER BY state_agrees DESC, owned_rows DESC, entity_id LIMIT 10",
+    "uncorroborated_owners": f"SELECT entity_type, count(*) AS n, count(*) FILTER (NOT state_agrees) AS n_name_only FROM ({SQL['owner_correlation']}) GROUP BY 1",
+    "parse_reports": f"""{_SCORED}SELECT *, confidence >= 0.8::DOUBLE AND NOT drifted AS trustworthy FROM (SELECT *, n_records NOT BETWEEN 100 AND 100000 AS drifted,
+        round(n_reliable::DOUBLE / n_records * CASE WHEN n_records NOT BETWEEN 100 AND 100000 THEN 0.7::DOUBLE ELSE 1 END, 6) AS confidence
+        FROM (SELECT source_id, count(*) AS n_records, count(*) FILTER (score >= 0.7::DOUBLE) AS n_reliable FROM s GROUP BY 1))""",
+}

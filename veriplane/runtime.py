@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
-_MADE: dict[str, DataFrame] = {}
+_MADE: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,6 +52,15 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet; ``drop_all`` deletes what is written there."""
+    path = f"{shared_root(spark)}/veriplane/{tag}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(drop_all)
+    _MADE[path] = spark
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -60,22 +69,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_root(spark)}/veriplane/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
-    if not _MADE:
-        atexit.register(drop_all)
-    _MADE[path] = back
     return back
 
 
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by ``stored``; for tables no later result reads."""
     for df in tables:
-        system, target = file_system(df.sparkSession, df.stored_path)
-        system.delete(target, True)
-        _MADE.pop(df.stored_path, None)
+        _drop(df.sparkSession, df.stored_path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    system, target = file_system(spark, path)
+    system.delete(target, True)
+    _MADE.pop(path, None)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -120,12 +130,12 @@ def read_texts(spark: SparkSession, folder: str, ending: str) -> list[str]:
 
 
 def drop_all() -> None:
-    """Delete every table made by ``stored`` so far; call it when all results have been written. Also runs at exit."""
-    for df in list(_MADE.values()):
+    """Delete every table made in the shared folder so far; call it when all results have been written. Also runs at exit."""
+    for path, spark in list(_MADE.items()):
         try:
-            drop_stored(df)
+            _drop(spark, path)
         except Exception:  # the session may be gone
-            _MADE.pop(df.stored_path, None)
+            _MADE.pop(path, None)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
