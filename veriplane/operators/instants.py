@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriplane.functions.codes import literal_map
-from veriplane.runtime import stored
+from veriplane.runtime import exists, stored
 
 # English month names by their first three letters.
 MONTHS = {
@@ -35,6 +35,8 @@ _CLOCK = rf"(?:(?:\s*t\s*|,?\s+(?:at\s+)?){_TIME}\s*{_ZONE})?"
 # Patterns of a whole text, and the order of their groups as year|month|day|hour|minute|second|fraction|half|offset|region.
 # "M" and "D" in an order are the numbers whose meaning the source decides.
 _NUMERIC = rf"\A{_DAYS}([0-9]{{1,2}})([-/.])([0-9]{{1,2}})\2([0-9]{{4}}|[0-9]{{2}}){_CLOCK}\z"
+_DAY_FIRST, _MONTH_FIRST = "$4|$3|$1|$5|$6|$7|$8|$9|$10|$11", "$4|$1|$3|$5|$6|$7|$8|$9|$10|$11"
+#: Year, month and day without separators; year first; day before, and after, the name of the month.
 _FORMS = [
     (
         r"\A([0-9]{4})([0-9]{2})([0-9]{2})(?:t([0-9]{2})([0-9]{2})(?:([0-9]{2})(?:[.,]([0-9]{1,9}))?)?\s*" + _ZONE + r")?\z",
@@ -73,17 +75,32 @@ def parse_instants(texts: DataFrame, zones: list[str]) -> DataFrame:
     than a microsecond are cut off. Hours run 0-23, or 1-12 with AM or PM, and
     24:00 ends its day; a 60th second does not exist.
 
-    The steps are separate projections so that each pattern runs once for a text.
+    The first characters of a text tell which one form it can have, and only that pattern runs, once. Zones are
+    looked up in a broadcast table of the few hundred ids that ``zones`` lists. The steps are separate projections.
     """
-    zone_of = F.expr("map(" + ",".join(f"'{z.lower()}','{z}'" for z in zones) + ")")
+    spark = texts.sparkSession
+    # as many rows as there are zones in the world
+    ids = F.broadcast(spark.createDataFrame([(z.lower(), z) for z in zones], "_low string, _id string"))
     micros, minute_us, day_us = (F.lit(x).cast("long") for x in (1_000_000, 60_000_000, 86_400_000_000))
-    text = F.col("_text")
-    form = F.when(text.rlike(_NUMERIC), F.regexp_replace(text, F.lit(_NUMERIC), F.when(F.col("day_first"), "$4|$3|$1|$5|$6|$7|$8|$9|$10|$11").otherwise("$4|$1|$3|$5|$6|$7|$8|$9|$10|$11")))
-    for pattern, order in _FORMS:
-        form = form.when(text.rlike(pattern), F.regexp_replace(text, pattern, order))
-    got = texts.select("*", F.lower(F.regexp_replace("raw", r"\A\s+|\s+\z", "")).alias("_text"))
-    got = got.select("*", F.split(form, r"\|", -1).alias("_p"))
+    text, mark = F.col("_text"), "\x01"
+    got = texts.select("*", F.lower(F.btrim("raw", F.lit(" \t\n\x0b\f\r"))).alias("_text"))
+    got = got.withColumn("_text", F.when(~F.contains(text, F.lit(mark)), text))
+    cut = lambda pattern, order: F.regexp_replace(text, F.lit(pattern), F.lit(order.replace("|", mark)))
+    numeric = F.when(F.col("day_first"), cut(_NUMERIC, _DAY_FIRST)).otherwise(cut(_NUMERIC, _MONTH_FIRST))
+    compact, year_first, day_name, month_name = (cut(*form) for form in _FORMS)
+    digits = F.length(text) - F.length(F.ltrim(text, F.lit("0123456789")))  # at the beginning
+    worded = F.when(text.rlike(rf"\A{_DAYS}[0-9]{{4}}"), year_first).when(text.rlike(rf"\A{_DAYS}[0-9]{{1,2}}[-/.][0-9]"), numeric).when(text.rlike(rf"\A{_DAYS}[0-9]"), day_name).otherwise(month_name)
+    form = (
+        F.when(digits == 0, worded)
+        .when(digits == 4, year_first)
+        .when(digits == 8, compact)
+        .when((digits <= 2) & F.substr(text, digits + 2, F.lit(1)).between("0", "9"), numeric)
+        .when(digits <= 2, day_name)
+    )
+    got = got.withColumn("_form", form)
+    got = got.select("*", F.split(F.when(F.contains("_form", F.lit(mark)), F.col("_form")), mark, -1).alias("_p"))
     part = lambda i: F.get("_p", i)
+    offset = F.when(part(8) != "", F.upper(F.regexp_replace(part(8), r"\A(?:utc|gmt)(?=[+-])", ""))).otherwise(part(8))
     got = got.select(
         *texts.columns, "_text",
         part(0).alias("_y"),
@@ -91,18 +108,18 @@ def parse_instants(texts: DataFrame, zones: list[str]) -> DataFrame:
         _int(part(2)).alias("_d"), _int(part(3)).alias("_h"), _int(part(4)).alias("_mi"),
         F.coalesce(_int(part(5)), F.lit(0)).alias("_s"),
         F.coalesce(_int(F.rpad(F.substring(part(6), 1, 6), 6, "0")), F.lit(0)).alias("_us"),
-        F.substring(part(7), 1, 1).alias("_half"),
-        F.upper(F.regexp_replace(part(8), r"\A(?:utc|gmt)(?=[+-])", "")).alias("_offset"),
-        part(9).alias("_region"),
+        F.substring(part(7), 1, 1).alias("_half"), offset.alias("_offset"), F.nullif(part(9), F.lit("")).alias("_region"),
     )
+    place = F.coalesce("_region", F.lower("zone"))  # a bracketed region instead of the source's zone
+    got = got.withColumn("_place", place).join(ids, F.col("_place") == F.col("_low"), "left").drop("_place", "_low").withColumnRenamed("_id", "_where")
     y = F.col("_y").try_cast("int")
+    signed = F.substring("_offset", 1, 1).isin("+", "-")
     got = got.withColumns(
         {
             "_year": F.when(F.length("_y") == 2, y + F.when(y >= 70, 1900).otherwise(2000)).otherwise(y),
             "_hour": F.when(F.col("_half") == "", F.col("_h")).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0)),
-            "_off_h": F.regexp_extract("_offset", r"\A[+-]([0-9]{1,2}):?([0-9]{2})?\z", 1),
-            "_off_m": F.coalesce(_int(F.regexp_extract("_offset", r"\A[+-]([0-9]{1,2}):?([0-9]{2})?\z", 2)), F.lit(0)),
-            "_where": F.when(F.col("_region") != "", F.try_element_at(zone_of, "_region")).otherwise(F.try_element_at(zone_of, F.lower("zone"))),
+            "_off_h": F.when(signed, F.regexp_extract("_offset", r"\A[+-]([0-9]{1,2}):?([0-9]{2})?\z", 1)).otherwise(""),
+            "_off_m": F.coalesce(F.when(signed, _int(F.regexp_extract("_offset", r"\A[+-]([0-9]{1,2}):?([0-9]{2})?\z", 2))), F.lit(0)),
         }
     )
     year, month, day, hour = (F.col(c) for c in ("_year", "_mo", "_d", "_hour"))
@@ -158,13 +175,11 @@ def append_dictionary(texts: DataFrame, path: str) -> DataFrame:
     new spellings. A run that was broken off may leave values twice; readers see each once.
     """
     spark = texts.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     schema = "raw string, zone string, day_first boolean, utc_us long"
-    known = spark.read.schema(schema).parquet(path) if there else None
+    known = spark.read.schema(schema).parquet(path) if exists(spark, path) else None
     text_dictionary(texts, known_zones(spark), known).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path).dropDuplicates(["raw", "zone", "day_first"])
+    words = spark.read.schema(schema).parquet(path)
+    return words if known is None else words.dropDuplicates(["raw", "zone", "day_first"])
 
 
 def normalize_instants(
