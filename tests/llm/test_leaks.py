@@ -86,3 +86,21 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert find_leaks(empty, items).count() == 0
     assert find_leaks(items.withColumnRenamed("item_id", "doc_id"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_many_items_take_one_scan(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(6000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(3000)]
+    docs = []
+    for d in range(240):
+        body = [rng.choice(words) for _ in range(80)]
+        if d % 4 == 0:
+            w = items[d * 12][1].split()
+            body[30:30] = w[5:20] if d % 8 else [x if n % 7 else rng.choice(words) for n, x in enumerate(w)]  # a run, or the whole item reworded here and there
+        docs.append((d, " ".join(body)))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    got = {(r.doc_id, r.item_id): r for r in out.where("run_words >= 12 or lcs_share >= 0.6").collect()}
+    want = {(d, d * 12) for d in range(0, 240, 4)}
+    assert set(got) == want and all(got[d, i].run_words >= 12 for d, i in want if d % 8) and all(got[d, i].lcs_share > 0.75 for d, i in want if not d % 8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -11,13 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriplane.runtime import ship
+from veriplane.runtime import drop_stored, ship, stored
 
 _WORD_BYTES = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _MEMO: dict[bytes, int] = {}
 _MEMO_ROOM = 1_000_000
 #: Words projected at a time; bounds the memory of a Python worker whatever the texts are.
 _CHUNK = 100_000
+#: Item windows in a shard of the index, and tasks that the sample of passages is spread over.
+_SHARD, _SAMPLE_TASKS = 2_000, 16
 
 
 def split_words(text: str) -> list[bytes]:
@@ -120,8 +123,8 @@ class LatentSpace:
         return len(self.idf)
 
     @staticmethod
-    def document_frequencies(texts: DataFrame, buckets: int) -> np.ndarray:
-        """Inverse document frequency of each bucket; ``texts`` has one column, text."""
+    def document_frequencies(texts: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
+        """Inverse document frequency of each bucket, and the number of documents; ``texts`` has one column, text."""
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, docs = np.zeros(buckets, dtype=np.int64), 0
@@ -138,16 +141,16 @@ class LatentSpace:
         inner = rows[rows["bucket"] >= 0]
         seen[inner["bucket"].to_numpy()] = inner["n"].to_numpy()
         n_docs = float(rows.loc[rows["bucket"] < 0, "n"].sum())
-        return (np.log((n_docs + 1) / (seen + 1)) + 0.1).astype(np.float32)
+        return (np.log((n_docs + 1) / (seen + 1)) + 0.1).astype(np.float32), n_docs
 
     @classmethod
     def fit(
         cls, documents: DataFrame, windows: list[list[int]], buckets: int, rank: int, window: int, sample_documents: int, power: int = 2
     ) -> LatentSpace:
-        texts = documents.select("text")
-        idf = cls.document_frequencies(texts, buckets)
-        share = min(1.0, sample_documents / max(1, documents.count()))
-        drawn = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").coalesce(4)
+        idf, n_docs = cls.document_frequencies(documents.select("text"), buckets)
+        share = min(1.0, sample_documents / max(1.0, n_docs))
+        drawn = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+        drawn = stored(drawn.repartition(_SAMPLE_TASKS), "passages")
         width = rank + 10
         sc = documents.sparkSession.sparkContext
         rng = np.random.default_rng(7)
@@ -196,45 +199,80 @@ class LatentSpace:
                 sums[touched] += np.frombuffer(row["part"], dtype=np.float32).reshape(len(touched), -1)
                 passages += row["n"]
             # the evaluation side has four times the weight of the corpus side
-            sums += multiply(evaluation, probe, 4.0 * max(1, passages) / max(1, len(evaluation)))
+            for s in range(0, len(evaluation), _SHARD):
+                sums += multiply(evaluation[s : s + _SHARD], probe, 4.0 * max(1, passages) / len(evaluation))
             probe = np.linalg.qr(sums)[0].astype(np.float32)
             shared.destroy()
+        drop_stored(drawn)
         return cls(idf, np.ascontiguousarray(probe[:, :rank]))
 
-    def completed(self, windows: list[list[int]]) -> LatentSpace:
-        """This space with the directions that ``windows`` need."""
-        ids = [np.asarray(w, dtype=np.int64) for w in windows if len(w)]
-        return LatentSpace(self.idf, np.ascontiguousarray(_completed(self.basis, self.idf, ids)))
 
-
-def _completed(basis: np.ndarray, idf: np.ndarray, windows: list[np.ndarray], keep: float = 0.85) -> np.ndarray:
-    """``basis`` with as many more directions as it takes for every window to keep ``keep`` of its length in the space.
-
-    They are the leading singular directions of what the windows lose. Without them the windows
-    of a varied query set would fall outside the space, and be found by nothing.
-    """
-    if not windows:
-        return basis
+def unit_rows(windows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of some windows, and the windows as unit TF-IDF rows over them."""
     terms = np.unique(np.concatenate(windows))
     dense = np.zeros((len(windows), len(terms)), dtype=np.float32)
     for n, w in enumerate(windows):
         ids, tf = np.unique(w, return_counts=True)
         dense[n, np.searchsorted(terms, ids)] = tf * idf[ids]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True) + 1e-9
-    inside = basis[terms]
-    for _ in range(8):
-        lost = dense - (dense @ inside) @ inside.T
-        short = (dense * lost).sum(axis=1) > 1 - keep**2
-        if not short.any():
-            break
-        _, sizes, directions = np.linalg.svd(lost[short], full_matrices=False)
-        need = int(np.searchsorted(np.cumsum(sizes**2) / np.sum(sizes**2), keep**2)) + 1
-        more = np.zeros((len(basis), need), dtype=np.float32)
-        more[terms] = directions[:need].T
-        more -= basis @ (basis.T @ more)
-        basis = np.hstack([basis, np.linalg.qr(more)[0].astype(np.float32)])
-        inside = basis[terms]
-    return basis
+    return terms, dense
+
+
+class Shard:
+    """Some windows of items as queries, in the latent space and the further directions that it takes for each to keep ``keep`` of its length.
+
+    Without those the windows of a varied query set would fall outside the space, and be found by nothing. The
+    further directions are ``own`` over the windows' ``terms`` less what the basis has of them (``mix``), so a shard
+    is as small as its vocabulary.
+    """
+
+    def __init__(self, space: LatentSpace, windows: list[np.ndarray], whose: list[int], keep: float = 0.85):
+        self.terms, rows = unit_rows(windows, space.idf)
+        inside = space.basis[self.terms]
+        base = rows @ inside
+        own, mix = np.zeros((len(self.terms), 0), dtype=np.float32), np.zeros((inside.shape[1], 0), dtype=np.float32)
+        for _ in range(8):
+            further = rows @ own - base @ mix
+            short = np.einsum("ij,ij->i", base, base) + np.einsum("ij,ij->i", further, further) < keep**2
+            if not short.any():
+                break
+            lost = rows[short] - base[short] @ inside.T - further[short] @ (own - inside @ mix).T
+            own = np.hstack([own, _leading(lost, keep**2)])
+            mix = inside.T @ own
+            # orthonormal outside the basis
+            size, turn = np.linalg.eigh(own.T @ own - mix.T @ mix)
+            good = size > 1e-4
+            own = (own @ (turn[:, good] / np.sqrt(size[good]))).astype(np.float32)
+            mix = inside.T @ own
+        self.own, self.mix = own * space.idf[self.terms][:, None], mix
+        self.queries = np.ascontiguousarray(np.hstack([base, rows @ own - base @ mix]).astype(np.float32))
+        self.first_of = np.flatnonzero(np.r_[True, np.diff(whose) > 0])
+        self.item_of = np.asarray(whose)[self.first_of]
+
+
+def _leading(rows: np.ndarray, share: float) -> np.ndarray:
+    """The leading right singular directions of ``rows`` that hold ``share`` of its energy, as columns."""
+    sizes, left = np.linalg.eigh(rows @ rows.T)
+    order = np.argsort(-sizes)
+    sizes, left = np.maximum(sizes[order], 0), left[:, order]
+    need = min(int(np.searchsorted(np.cumsum(sizes), share * sizes.sum())) + 1, int((sizes > 1e-6).sum()) or 1)
+    return rows.T @ left[:, :need] / np.sqrt(np.maximum(sizes[:need], 1e-9))
+
+
+def make_shards(documents: DataFrame, space: LatentSpace, windows: list[list[int]], whose: list[int]) -> list[Shard]:
+    """The windows in shards of ``_SHARD``, each made by a task."""
+    spark = documents.sparkSession
+    rows = [(pickle.dumps((windows[s : s + _SHARD], whose[s : s + _SHARD])),) for s in range(0, len(windows), _SHARD)]
+    shared = spark.sparkContext.broadcast(space)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch["part"]:
+                some, items = pickle.loads(part)
+                yield pd.DataFrame({"shard": [pickle.dumps(Shard(shared.value, [np.asarray(w, dtype=np.int64) for w in some], items))]})
+
+    parts = spark.createDataFrame(rows, "part binary").repartition(len(rows))
+    return [pickle.loads(r["shard"]) for r in parts.mapInPandas(build, "shard binary").toLocalIterator()]
 
 
 def item_windows(items: list[tuple], buckets: int, window: int, stride: int) -> tuple[list[list[int]], list[int]]:
@@ -258,7 +296,7 @@ def find_leaks(
     rank: int = 64,
     buckets: int = 1 << 15,
     sample_documents: int = 2000,
-    block_items: int = 500,
+    block_items: int = 20_000,
 ) -> DataFrame:
     """``(doc_id, item_id, cosine, run_words, lcs_share, answer_share)`` for documents near an item.
 
@@ -266,7 +304,7 @@ def find_leaks(
     that any run of ``least_words`` words lies whole in a passage. Passages and windows of the
     items are compared by cosine in the latent space (see ``LatentSpace``), divided by the
     norms in the full space; the space has ``rank`` latent directions, and those that it takes
-    for every window of the items to keep 0.85 of its length. A pair with ``similarity`` or more is a candidate, and
+    for every window of the items to keep 0.85 of its length (see ``Shard``). A pair with ``similarity`` or more is a candidate, and
     so is, whatever its cosine, one that shares a run of ``least_words`` words: the cosine of a run falls as its
     words get frequent, so an item that leaked often would be lost. Around its
     candidate passages the document is then compared exactly: ``run_words`` is the longest
@@ -278,9 +316,10 @@ def find_leaks(
     a null id are ignored; a doc_id or item_id that occurs in several rows gives the best
     of them in each column; an empty table gives no rows. Other columns play no part.
 
-    Scale: two scans of all texts and one that keeps a sample; no text is shuffled. Broadcast
-    are the basis (buckets * rank numbers) and at most ``block_items`` items at a time, the query
-    set being worked off in such blocks. Words are projected in bounded pieces.
+    Scale: three scans of all texts, whatever the number of items up to ``block_items``: one counts, one keeps the
+    sample that the basis is fitted on, one searches; no text is shuffled. More items are worked off in blocks, with
+    a search each. Broadcast are the basis (buckets * rank numbers) and the items' windows in shards of a fixed
+    number of windows, each with its own directions. Words are projected in bounded pieces.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -299,29 +338,22 @@ def find_leaks(
             continue
         if space is None:
             space = LatentSpace.fit(docs, windows, buckets, rank, 2 * least_words, sample_documents)
-        found = found.unionByName(_search(docs, rows, windows, whose, space.completed(windows), least_words, similarity, schema))
+        shards = make_shards(docs, space, windows, whose)
+        found = found.unionByName(_search(docs, rows, shards, space, least_words, similarity, schema))
     best = [F.max(c).alias(c) for c in ("cosine", "run_words", "lcs_share", "answer_share")]
     return found.groupBy("doc_id", "item_id").agg(*best)
 
 
-def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: LatentSpace, block: int, similarity: float, schema: str) -> DataFrame:
+def _search(docs: DataFrame, rows: list, shards: list[Shard], space: LatentSpace, block: int, similarity: float, schema: str) -> DataFrame:
     buckets, idf = space.buckets, space.idf
-    terms = space.basis * idf[:, None]
-    queries = np.zeros((len(windows), terms.shape[1]), dtype=np.float32)
-    for n, w in enumerate(windows):
-        ids, tf = np.unique(w, return_counts=True)
-        queries[n] = tf.astype(np.float32) @ terms[ids] / np.sqrt(np.sum((idf[ids] * tf) ** 2))
-    first_of = np.flatnonzero(np.r_[True, np.diff(whose) > 0])
-    item_of = np.asarray(whose)[first_of]
-    column_of = np.zeros(len(rows), dtype=np.int64)
-    column_of[item_of] = np.arange(len(item_of))
     texts = []
     for item_id, text in rows:
         words = split_words(text)
         answer = split_words(re.split(r"\?", text)[-1])
         texts.append((item_id, words, answer or words))
     runs = item_runs([words for _, words, _ in texts], block)
-    shared = docs.sparkSession.sparkContext.broadcast((terms.astype(np.float32), idf**2, queries, first_of, item_of, texts, runs))
+    base = (space.basis * idf[:, None]).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((base, idf**2, shards, texts, runs))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -344,7 +376,7 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "run_words", "lcs_share", "answer_share"])
 
-    def scan(group: list, out: list, terms, idf2, queries, first_of, item_of, texts, runs) -> None:
+    def scan(group: list, out: list, base, idf2, shards, texts, runs) -> None:
         if not group:
             return
         codes = np.asarray([i for _, words in group for i in word_codes(words)])
@@ -355,15 +387,16 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
         doc_of = np.repeat(np.arange(len(group)), per_doc)
         nth = np.arange(len(doc_of)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         cuts = starts[doc_of] + nth * block
-        vectors = np.add.reduceat(terms[ids], cuts, axis=0)
-        energy = np.add.reduceat(idf2[ids], cuts)
         # a passage is a block and the next one of the same text
         follows = (doc_of[1:] == doc_of[:-1]).astype(np.float32)
-        vectors[:-1] += vectors[1:] * follows[:, None]
-        energy[:-1] += energy[1:] * follows
-        scale = np.sqrt(energy) + 1e-9
-        # no query is longer than 1, so a shorter projection cannot reach the similarity
-        close = np.einsum("ij,ij->i", vectors, vectors) >= (similarity * scale) ** 2
+
+        def passages(sums: np.ndarray) -> np.ndarray:
+            sums[:-1] += sums[1:] * follows.reshape((-1,) + (1,) * (sums.ndim - 1))
+            return sums
+
+        vectors = passages(np.add.reduceat(base[ids], cuts, axis=0))
+        scale = np.sqrt(passages(np.add.reduceat(idf2[ids], cuts))) + 1e-9
+        length = np.einsum("ij,ij->i", vectors, vectors)
         # passages that begin a run of an item, and the item
         seen, (known, owner) = run_codes(codes, block), runs
         low = np.searchsorted(known, seen)
@@ -375,18 +408,37 @@ def _search(docs: DataFrame, rows: list, windows: list, whose: list, space: Late
         place = np.repeat(low[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
         passage = np.repeat(np.searchsorted(cuts, at, side="right") - 1, many)
         equal = np.unique(np.stack([passage, owner[place]], axis=1), axis=0)
-        close[equal[:, 0]] = True
-        near = np.flatnonzero(close)
-        if not len(near):
-            return
-        cosines = np.maximum.reduceat(vectors[near] @ queries.T, first_of, axis=1) / scale[near, None]
-        wanted = cosines >= similarity
-        wanted[np.searchsorted(near, equal[:, 0]), column_of[equal[:, 1]]] = True
+        pairs: dict[tuple[int, int], float] = {(int(p), int(n)): 0.0 for p, n in equal}
+        block_of = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(ids)]))
+        slot = np.full(buckets, -1, dtype=np.int32)
+        for shard in shards:
+            slot[shard.terms] = np.arange(len(shard.terms), dtype=np.int32)
+            local = slot[ids]
+            slot[shard.terms] = -1
+            inside = np.flatnonzero(local >= 0)
+            further = np.zeros((len(cuts), shard.own.shape[1]), dtype=np.float32)
+            if len(inside):
+                blocks = block_of[inside]
+                firsts = np.flatnonzero(np.r_[True, np.diff(blocks) > 0])
+                further[blocks[firsts]] = np.add.reduceat(shard.own[local[inside]], firsts, axis=0)
+            further = passages(further) - vectors @ shard.mix
+            # no query is longer than 1, so a shorter projection cannot reach the similarity
+            close = length + np.einsum("ij,ij->i", further, further) >= (similarity * scale) ** 2
+            mine = equal[np.isin(equal[:, 1], shard.item_of)]
+            close[mine[:, 0]] = True
+            near = np.flatnonzero(close)
+            if not len(near):
+                continue
+            cosines = np.maximum.reduceat(np.hstack([vectors[near], further[near]]) @ shard.queries.T, shard.first_of, axis=1) / scale[near, None]
+            wanted = cosines >= similarity
+            wanted[np.searchsorted(near, mine[:, 0]), np.searchsorted(shard.item_of, mine[:, 1])] = True
+            for r, c in zip(*np.nonzero(wanted)):
+                pair = (int(near[r]), int(shard.item_of[c]))
+                pairs[pair] = max(pairs.get(pair, 0.0), float(cosines[r, c]))
         hits: dict[tuple[int, int], list] = {}
-        for r, c in zip(*np.nonzero(wanted)):
-            at = near[r]
-            hit = hits.setdefault((int(doc_of[at]), int(item_of[c])), [0.0, set()])
-            hit[0] = max(hit[0], float(cosines[r, c]))
+        for (at, n), cosine in pairs.items():
+            hit = hits.setdefault((int(doc_of[at]), n), [0.0, set()])
+            hit[0] = max(hit[0], cosine)
             hit[1].update(range(int(nth[at]) - 2, int(nth[at]) + 4))
         for (d, n), (cosine, around) in hits.items():
             doc_id, words = group[d]
