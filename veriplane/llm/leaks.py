@@ -244,12 +244,17 @@ class Shard:
             good = size > 1e-4
             own = (own @ (turn[:, good] / np.sqrt(size[good]))).astype(np.float32)
             mix = inside.T @ own
-        self.own, self.mix = own * space.idf[self.terms][:, None], mix
+        self.own, self.mix = _with_none(own * space.idf[self.terms][:, None]), mix
         self.queries = np.ascontiguousarray(np.hstack([base, rows @ own - base @ mix]).astype(np.float32))
         self.first_of = np.flatnonzero(np.r_[True, np.diff(whose) > 0])
         self.item_of = np.asarray(whose)[self.first_of]
 
 
+def _with_none(table: np.ndarray) -> np.ndarray:
+    """``table`` with a last row of zeros."""
+    return np.concatenate([table, np.zeros_like(table[:1])])
+
+
 def _leading(rows: np.ndarray, share: float) -> np.ndarray:
     """The leading right singular directions of ``rows`` that hold ``share`` of its energy, as columns."""
     sizes, left = np.linalg.eigh(rows @ rows.T)
@@ -352,8 +357,8 @@ def _search(docs: DataFrame, rows: list, shards: list[Shard], space: LatentSpace
         answer = split_words(re.split(r"\?", text)[-1])
         texts.append((item_id, words, answer or words))
     runs = item_runs([words for _, words, _ in texts], block)
-    base = (space.basis * idf[:, None]).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((base, idf**2, shards, texts, runs))
+    base = _with_none((space.basis * idf[:, None]).astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast((base, _with_none(idf**2), shards, texts, runs))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -394,8 +399,19 @@ def _search(docs: DataFrame, rows: list, shards: list[Shard], space: LatentSpace
             sums[:-1] += sums[1:] * follows.reshape((-1,) + (1,) * (sums.ndim - 1))
             return sums
 
-        vectors = passages(np.add.reduceat(base[ids], cuts, axis=0))
-        scale = np.sqrt(passages(np.add.reduceat(idf2[ids], cuts))) + 1e-9
+        # the words of each block, side by side; the last row of every table is for those that are not there
+        block_of = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(ids)]))
+        grid = np.full((block, len(cuts)), buckets, dtype=np.int32)
+        grid[np.arange(len(ids)) - cuts[block_of], block_of] = ids
+
+        def sums_of(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+            total = table[places[0]]
+            for row in places[1:]:
+                total += table[row]
+            return total
+
+        vectors = passages(sums_of(base, grid))
+        scale = np.sqrt(passages(sums_of(idf2, grid))) + 1e-9
         length = np.einsum("ij,ij->i", vectors, vectors)
         # passages that begin a run of an item, and the item
         seen, (known, owner) = run_codes(codes, block), runs
@@ -409,19 +425,10 @@ def _search(docs: DataFrame, rows: list, shards: list[Shard], space: LatentSpace
         passage = np.repeat(np.searchsorted(cuts, at, side="right") - 1, many)
         equal = np.unique(np.stack([passage, owner[place]], axis=1), axis=0)
         pairs: dict[tuple[int, int], float] = {(int(p), int(n)): 0.0 for p, n in equal}
-        block_of = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(ids)]))
-        slot = np.full(buckets, -1, dtype=np.int32)
         for shard in shards:
+            slot = np.full(buckets + 1, len(shard.terms), dtype=np.int32)
             slot[shard.terms] = np.arange(len(shard.terms), dtype=np.int32)
-            local = slot[ids]
-            slot[shard.terms] = -1
-            inside = np.flatnonzero(local >= 0)
-            further = np.zeros((len(cuts), shard.own.shape[1]), dtype=np.float32)
-            if len(inside):
-                blocks = block_of[inside]
-                firsts = np.flatnonzero(np.r_[True, np.diff(blocks) > 0])
-                further[blocks[firsts]] = np.add.reduceat(shard.own[local[inside]], firsts, axis=0)
-            further = passages(further) - vectors @ shard.mix
+            further = passages(sums_of(shard.own, slot[grid])) - vectors @ shard.mix
             # no query is longer than 1, so a shorter projection cannot reach the similarity
             close = length + np.einsum("ij,ij->i", further, further) >= (similarity * scale) ** 2
             mine = equal[np.isin(equal[:, 1], shard.item_of)]
