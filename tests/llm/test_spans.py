@@ -56,6 +56,11 @@ def test_pairs_and_shares_match_brute_force(spark):
         found = SharedSpans(df, LEAST, k, step)
         got = found.pairs().collect()
         assert {tuple(r) for r in got} == pairs and len(got) == len(pairs)
+    # the same where every key counts as busy
+    crowded = SharedSpans(df, LEAST, 20, 8, busy=0)
+    assert {tuple(r) for r in crowded.pairs().collect()} == pairs
+    shares = {r.doc_id: r.shared_chars for r in crowded.shares(df.where("doc_id is not null")).collect()}
+    assert {d: shares[d] for d in covered} == covered
     shares = {r.doc_id: r.shared_chars for r in SharedSpans(df, LEAST, 30, 10).shares(df.where("doc_id is not null")).collect()}
     assert {d: shares[d] for d in covered} == covered and shares[200] == shares[201] == 0
 
@@ -79,3 +84,26 @@ def test_every_window_has_an_anchor():
         start = end
     again, g = winnow(codes[705:1600], np.asarray([895]), 10, 25)
     assert dict(zip((again + 705).tolist(), g.tolist())) == {p: x for p, x in zip(at.tolist(), h.tolist()) if 705 <= p < 1600}
+
+
+def test_near_misses_are_not_paired(spark):
+    """A stretch one character too short in every document, between characters of its own: no two documents are compared for it."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    short, n = text(LEAST - 1), 3000
+    rows = [(d, f"{text(80)}{chr(0x4E00 + d)}{short}{chr(0x4E00 + d)}{text(80)}") for d in range(n)]
+    long = text(LEAST + 3)
+    rows[5], rows[6] = (5, f"x{long}y{short}"), (6, f"z{long}w{short}")
+    found = SharedSpans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), LEAST, 30, 10)
+    _, pairs, cut = found._candidates()
+    assert pairs.count() < 100 and 10 * n < cut.count() < 500 * n
+    assert {tuple(r) for r in found.pairs().collect()} == {(5, 6)}
+    assert {r.doc_id: r.shared_chars for r in found.shares(spark.createDataFrame(rows, "doc_id long, text string")).where("shared_chars > 0").collect()} == {5: LEAST + 3, 6: LEAST + 3}
+
+
+def test_a_large_class(spark):
+    """Copies in slices: every pair once."""
+    text = "".join(random.Random(4).choice("abcdefghij ") for _ in range(90))
+    rows = [(d, text) for d in range(2300)] + [(3000, "x" + text)]
+    got = SharedSpans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), LEAST, 30, 10).pairs()
+    assert got.count() == 2301 * 2300 // 2
