@@ -50,3 +50,7 @@ def test_quality_is_learnt(spark):
     assert q[("canonical_name", "s3")].specificity < q[("canonical_name", "s1")].specificity
     values = judged_values(*frames(spark, rows)).where("field_name = 'canonical_name'").collect()
     assert all((r.probability > 0.5) == r.value.endswith("TRUE") for r in values)
+    # the same model, fitted over tables
+    here = {(r.field_name, tuple(r.pos), tuple(r.neg)): r.probability for r in source_quality(facts)[1].collect()}
+    there = {(r.field_name, tuple(r.pos), tuple(r.neg)): r.probability for r in source_quality(facts, most_patterns=0)[1].collect()}
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-9 for k in here)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veriplane.functions.codes import STATE_NAMES
 from veriplane.llm.addresses import locate, same_places
@@ -35,7 +36,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct usable value of a group, its probability and whether the surviving record holds it."""
-    return judged_values(table(spark, folder, "entity_records"), table(spark, folder, "sources"))
+    values = judged_values(table(spark, folder, "entity_records"), table(spark, folder, "sources"))
+    return values.withColumn("probability", F.round("probability", 6))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,8 +87,17 @@ _NPI_OK = """(regexp_full_match(trim(x), '[0-9]{10}') AND (24 + list_sum(list_tr
          ELSE ord(substr(trim(x), i, 1)) - 48 END))) % 10 = 0)"""
 _GRAMS = "list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))"
 
-#: Where no SQL is given: p3 and p6 (readings of free text), p8 (a packing) and the probabilities of p4_values and
-#: measures of p9_paraphrases are held against brute force or by their properties in the tests.
+_ROUND = """quality{1} AS MATERIALIZED (SELECT v.field_name, source_id, (sum(CASE WHEN says = 1 THEN v.n * p ELSE 0 END) + 8) / (sum(v.n * p) + 10) AS sens,
+            (sum(CASE WHEN says = 0 THEN v.n * (1 - p) ELSE 0 END) + 9) / (sum(v.n * (1 - p)) + 10) AS spec
+          FROM votes v JOIN belief{0} b ON b.field_name = v.field_name AND b.pos = v.pos AND b.neg = v.neg GROUP BY 1, 2),
+        prior{1} AS (SELECT field_name, (sum(p * n) + 1) / (sum(n) + 2) AS prior FROM belief{0} GROUP BY 1),
+        belief{1} AS MATERIALIZED (SELECT field_name, pos, neg, n, 1 / (1 + exp(-(llr + ln(prior / (1 - prior))))) AS p FROM (
+            SELECT field_name, pos, neg, any_value(n) AS n, sum(CASE WHEN says = 1 THEN ln(sens / (1 - spec)) ELSE ln((1 - sens) / spec) END) AS llr
+            FROM votes JOIN quality{1} USING (field_name, source_id) GROUP BY 1, 2, 3) JOIN prior{1} USING (field_name))"""
+_ROUNDS = ",\n        ".join(_ROUND.format(i, i + 1) for i in range(8))
+
+#: Where no SQL is given: p3 and p6 (readings of free text), p8 (a packing) and the measures of p9_paraphrases
+#: are held against brute force or by their properties in the tests.
 SQL = {
     "p1_found": """
         WITH RECURSIVE verdicts AS (
@@ -116,6 +127,35 @@ SQL = {
         SELECT group_id, field_name, record_id FROM (
           SELECT u.*, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank NULLS LAST, observed_at DESC NULLS LAST, record_id) AS rn
           FROM usable u LEFT JOIN sources s USING (source_id) WHERE field_name IS NOT NULL AND group_id IN (SELECT group_id FROM plural)) WHERE rn = 1""",
+    "p4_values": f"""
+        WITH rec AS (
+          SELECT DISTINCT group_id, record_id, coalesce(source_id, '') AS source_id, observed_at, npis, canonical_state,
+                 trim(upper(regexp_replace(canonical_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS words
+          FROM entity_records WHERE group_id IS NOT NULL AND record_id IS NOT NULL),
+        plural AS (SELECT group_id FROM rec GROUP BY 1 HAVING count(DISTINCT record_id) > 1),
+        claims AS (
+          SELECT group_id, record_id, source_id, observed_at, 'canonical_name' AS field_name,
+                 CASE WHEN regexp_matches(words, '\\p{{L}}') AND replace(replace(words, ' ', ''), left(words, 1), '') <> ''
+                       AND NOT list_bool_and(list_transform(string_split(words, ' '), lambda t: t IN ({_FILLERS}) OR regexp_full_match(t, '[0-9]+'))) THEN words END AS value FROM rec
+          UNION ALL SELECT group_id, record_id, source_id, observed_at, 'canonical_state',
+                 CASE WHEN upper(regexp_replace(canonical_state, '[ ]+', '', 'g')) IN ({_STATES}) THEN upper(regexp_replace(canonical_state, '[ ]+', '', 'g')) END FROM rec
+          UNION ALL SELECT group_id, record_id, source_id, observed_at, 'npis', unnest(list_distinct(list_transform(list_filter(npis, lambda x: {_NPI_OK}), lambda x: trim(x)))) FROM rec),
+        ranked AS (SELECT c.*, coalesce(trust_rank, 4611686018427387904) AS rank, coalesce(-epoch_us(observed_at), 4611686018427387904) AS age
+                   FROM claims c LEFT JOIN sources s USING (source_id) WHERE value IS NOT NULL AND group_id IN (SELECT group_id FROM plural)),
+        vals AS (SELECT group_id, field_name, value, min(struct_pack(rank := rank, age := age, record_id := record_id)) AS best, list_sort(list(DISTINCT source_id)) AS pos FROM ranked GROUP BY 1, 2, 3),
+        speak AS (SELECT group_id, field_name, list_sort(list(DISTINCT source_id)) AS every FROM ranked GROUP BY 1, 2),
+        facts AS MATERIALIZED (SELECT v.*, list_filter(every, lambda s: NOT list_contains(pos, s)) AS neg FROM vals v JOIN speak USING (group_id, field_name)),
+        patterns AS MATERIALIZED (SELECT field_name, pos, neg, count(*)::DOUBLE AS n FROM facts GROUP BY 1, 2, 3),
+        votes AS MATERIALIZED (SELECT field_name, pos, neg, n, unnest(pos) AS source_id, 1 AS says FROM patterns
+                               UNION ALL SELECT field_name, pos, neg, n, unnest(neg), 0 FROM patterns),
+        belief0 AS MATERIALIZED (SELECT field_name, pos, neg, n, least(0.95::DOUBLE, greatest(0.05::DOUBLE, len(pos)::DOUBLE / (len(pos) + len(neg)))) AS p FROM patterns),
+        {_ROUNDS},
+        scored AS (SELECT f.*, p AS probability FROM facts f JOIN belief8 b ON b.field_name = f.field_name AND b.pos = f.pos AND b.neg = f.neg),
+        top AS (SELECT group_id, field_name, best AS top_best, value AS top_value FROM scored
+                QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY best.rank, best.age, -round(probability, 9), best.record_id, value) = 1)
+        SELECT group_id, field_name, value, best.record_id AS value_record_id, top_best.record_id AS record_id, round(probability, 6) AS probability, len(pos) AS n_sources,
+               CASE WHEN field_name <> 'npis' THEN value = top_value ELSE probability >= 0.5 OR best = top_best END AS retained
+        FROM scored JOIN top USING (group_id, field_name)""",
     "p9_found": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
         q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
@@ -128,4 +168,13 @@ SQL = {
         busy AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
         kept AS (SELECT * FROM grams WHERE g IN (SELECT g FROM busy))
         SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id""",
+    "p10_shares": """
+        WITH places AS (SELECT doc_id, i, md5_number(substr(text, i, 400)) AS g FROM (
+            SELECT doc_id, text, unnest(generate_series(1, length(text) - 399)) AS i FROM documents WHERE length(text) >= 400)),
+        busy AS (SELECT g FROM places GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+        kept AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM places WHERE g IN (SELECT g FROM busy)),
+        covered AS (SELECT doc_id, sum(least(400, coalesce(following - i, 400)))::BIGINT AS shared_chars FROM kept GROUP BY 1)
+        SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars,
+               CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0::DOUBLE END AS shared_share
+        FROM documents LEFT JOIN covered USING (doc_id)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def claim_facts(records: DataFrame, sources: DataFrame) -> DataFrame:
     return values.join(speakers, ["group_id", "field_name"]).select("*", F.array_except("all", "pos").alias("neg")).drop("all")
 
 
-def source_quality(facts: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def source_quality(facts: DataFrame, rounds: int = 8, most_patterns: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Expectation-maximisation over latent truths.
 
     Returns ``(quality, posteriors)``: per field and source sensitivity (it asserts a true
@@ -99,8 +100,44 @@ def source_quality(facts: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFr
     Facts with the same pattern are alike to the model, so they are counted once and the
     iterations run over patterns, however many facts there are. Weak Beta priors
     (sensitivity 8:2, specificity 9:1, truth 1:1) keep estimates of rare sources sane.
+    Up to ``most_patterns`` patterns (a few sources make few) are fitted on the driver, more of them by the executors, by the same formulas.
     """
     patterns = stored(facts.groupBy("field_name", "pos", "neg").agg(F.count("*").alias("n")), "patterns")
+    few = patterns.limit(most_patterns + 1).collect()
+    return _fit_here(patterns, few, rounds) if len(few) <= most_patterns else _fit_there(patterns, rounds)
+
+
+def _fit_here(patterns: DataFrame, rows: list, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The model fitted in arrays; ``rows`` are all ``patterns``."""
+    spark = patterns.sparkSession
+    quality, posteriors = [], []
+    for field in sorted({r["field_name"] for r in rows}):
+        mine = [r for r in rows if r["field_name"] == field]
+        sources = sorted({s for r in mine for s in [*r["pos"], *r["neg"]]})
+        at = {s: i for i, s in enumerate(sources)}
+        says, silent = np.zeros((2, len(mine), len(sources)))
+        for n, r in enumerate(mine):
+            says[n, [at[s] for s in r["pos"]]] = 1
+            silent[n, [at[s] for s in r["neg"]]] = 1
+        count = np.asarray([r["n"] for r in mine], dtype=float)
+        p = np.clip(says.sum(1) / (says + silent).sum(1), 0.05, 0.95)
+        for _ in range(rounds):
+            true, false = count * p, count * (1 - p)
+            sens = (true @ says + 8) / (true @ (says + silent) + 10)
+            spec = (false @ silent + 9) / (false @ (says + silent) + 10)
+            prior = (true.sum() + 1) / (count.sum() + 2)
+            llr = says @ np.log(sens / (1 - spec)) + silent @ np.log((1 - sens) / spec)
+            p = 1 / (1 + np.exp(-(llr + np.log(prior / (1 - prior)))))
+        quality += [(field, s, float(a), float(b)) for s, a, b in zip(sources, sens, spec)]
+        posteriors += [(field, r["pos"], r["neg"], float(x)) for r, x in zip(mine, p)]
+    return (
+        spark.createDataFrame(quality, "field_name string, source_id string, sensitivity double, specificity double"),
+        spark.createDataFrame(posteriors, "field_name string, pos array<string>, neg array<string>, probability double"),
+    )
+
+
+def _fit_there(patterns: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The model fitted over a table of patterns."""
     votes = patterns.select("field_name", "pos", "neg", "n", F.explode(F.concat(
         F.transform("pos", lambda s: F.struct(s.alias("source_id"), F.lit(1).alias("says"))),
         F.transform("neg", lambda s: F.struct(s.alias("source_id"), F.lit(0).alias("says"))),
