@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from veriplane.functions.names import edit_similarity, jaccard, normalize_name, phonetic_keys, token_similarity, tokens
@@ -61,7 +61,10 @@ def pair_scores(records: DataFrame, max_block: int = 400) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(id, component)``: the smallest id linked to each vertex, by label propagation with pointer jumping."""
+    """``(id, component)``: the smallest id linked to each vertex, by label propagation with pointer jumping.
+
+    A round is one job; what moved is counted as the labels are written.
+    """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels")
@@ -69,10 +72,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         heard = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, labels["id"] == heard["u"]).select("id", F.least("label", "heard").alias("next"), "label")
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = stored(nearer.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), "labels")
+        far = F.least("next", F.coalesce("far", "next"))
+        moved = Observation()
+        new = nearer.join(jump, "next", "left").select("id", far.alias("label"), (far != F.col("label")).alias("moved"))
+        new = stored(new.observe(moved, F.count_if("moved").alias("n")).drop("moved"), "labels")
         drop_stored(labels)
         labels = new
-        if new.where("moved").isEmpty():
+        if not moved.get["n"]:
+            drop_stored(both)
             return labels.select("id", F.col("label").alias("component"))
 
 

@@ -10,7 +10,8 @@ import zipfile
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
@@ -76,6 +77,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def stored_count(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """As ``stored``, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    back = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), tag)
+    return back, seen.get["n"]
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by ``stored``; for tables no later result reads."""
     for df in tables:
