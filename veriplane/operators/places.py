@@ -27,7 +27,8 @@ def first_values(rows: DataFrame, keys: list[str], value: str, sample: int) -> D
 def colocated_counts(entities: DataFrame, ident: str, address: str, phone: str) -> DataFrame:
     """``(<ident>, n_colocated, phone_shared)``: distinct other entities at one's address or phone, for those with any.
 
-    By inclusion and exclusion over three group counts; pairs are never formed.
+    By inclusion and exclusion over three group counts; pairs are never formed. Each entity has one address and one
+    phone at most: of an id with several different rows the others would count once per row.
     """
     rows = entities.select(F.col(ident).alias("id"), F.col(address).alias("a"), F.col(phone).alias("p")).distinct()
     of = lambda keys, name: rows.dropna(subset=keys).groupBy(*keys).agg(F.count_distinct("id").alias(name))

@@ -172,6 +172,13 @@ def event_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return event_profile(_events(spark, folder)).select("entity_id", "n_exclusions", "n_reinstatements", "n_states", "states", "tiers", "excluded_now")
 
 
+def entity_event_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entity with its number of events, none for most."""
+    counted = _events(spark, folder).groupBy("entity_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("status") == "active").alias("n_active"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return _entities(spark, folder).select("entity_id").join(counted, "entity_id", "left").select("entity_id", zero("n_events"), zero("n_active"))
+
+
 def event_spans(spark: SparkSession, folder: str) -> DataFrame:
     """First and last exclusion of each party, by day."""
     profile = event_profile(_events(spark, folder))
@@ -393,7 +400,7 @@ _FUNCTIONS = [
     top_candidates, modal_names, event_status_counts, event_profiles, multi_tier_entities, entity_rollup, excluded_registry_rows, unmatched_exclusions,
     phone_cohorts, shared_locations, owner_correlation, verdict_calibration, rejection_runs, run_changes, run_totals, address_keys, phone_keys,
     normalized_dates, parse_quality, text_fingerprints, union_sources, source_statistics, jurisdiction_entities,
-    event_spans, signal_calibration, calibrated_candidates, ranked_owner_findings, uncorroborated_owners, provider_types, first_edges, name_hashes, embedded_numbers,
+    entity_event_counts, event_spans, signal_calibration, calibrated_candidates, ranked_owner_findings, uncorroborated_owners, provider_types, first_edges, name_hashes, embedded_numbers,
     text_line_counts, header_shares, parse_reports, unseen_signals, licence_round_trip,
     graph_entities, graph_events, graph_candidates, graph_meta, confirmed_clusters, cohorts_address, cohorts_phone, cohorts_both,
 ]
@@ -569,6 +576,8 @@ SQL = {
     "multi_tier_entities": f"WITH {_PROFILE} SELECT entity_id, tiers FROM prof WHERE contains(tiers, ',')",
     "entity_rollup": f"""WITH {_EX} SELECT {_PARTY} AS party, count(*) AS n_rows, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources,
         count(DISTINCT upper(trim(state))) AS n_states, min(arrived_at) AS first_arrival, max(arrived_at) AS last_arrival FROM ex GROUP BY 1""",
+    "entity_event_counts": f"""WITH {_ENT}, {_EVENTS}, c AS (SELECT entity_id, count(*) AS n, count(*) FILTER (status = 'active') AS a FROM ev GROUP BY 1)
+        SELECT entity_id, coalesce(n, 0) AS n_events, coalesce(a, 0) AS n_active FROM ent LEFT JOIN c USING (entity_id)""",
     "event_spans": f"WITH {_EVENTS} SELECT entity_id, strftime(min(excluded_at), '%Y-%m-%d') AS first_excluded, strftime(max(excluded_at), '%Y-%m-%d') AS last_excluded FROM ev GROUP BY 1",
     "excluded_registry_rows": f"""WITH {_ENT}, pairs AS (SELECT entity_id, unnest(npis) AS npi, npi_active FROM ent)
         SELECT entity_id, npi, npi_active FROM pairs WHERE npi IN (SELECT trim(npi) FROM exclusions WHERE npi IS NOT NULL)""",
