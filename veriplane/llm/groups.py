@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriplane.runtime import drop_stored, stored
+from veriplane.runtime import drop_stored, stored, stored_count
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -30,7 +30,7 @@ def contract(edges: DataFrame, a: str, b: str) -> DataFrame:
     is a partial minimum, so a vertex with a third of all links sends one row per map task.
     The driver sees row counts only.
     """
-    links = stored(
+    links, left = stored_count(
         edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
         .where("a is not null and b is not null and a <> b")
         .select(*_ordered(F.col("a"), F.col("b")))
@@ -38,7 +38,7 @@ def contract(edges: DataFrame, a: str, b: str) -> DataFrame:
         "links",
     )
     rounds: list[DataFrame] = []
-    while not links.isEmpty():
+    while left:
         seed = F.lit(0x5EED + len(rounds))
         rank = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         both = links.select("u", rank("v").alias("r")).unionByName(links.select(F.col("v").alias("u"), rank("u").alias("r")))
@@ -46,7 +46,7 @@ def contract(edges: DataFrame, a: str, b: str) -> DataFrame:
         hooks = stored(hooks, "hooks")
         rounds.append(hooks)
         ends = lambda side: hooks.select(F.col("u").alias(side), F.col("rep").alias(f"{side}_rep"))  # noqa: E731, B023
-        nxt = stored(
+        nxt, left = stored_count(
             links.join(ends("u"), "u").join(ends("v"), "v").where("u_rep <> v_rep").select(*_ordered(F.col("u_rep"), F.col("v_rep"))).distinct(),
             "links",
         )
@@ -59,6 +59,7 @@ def contract(edges: DataFrame, a: str, b: str) -> DataFrame:
         upper = top.select(F.col("u").alias("rep"), F.col("rep").alias("root"))
         top = lower.join(upper, "rep", "left").select("u", F.coalesce("root", "rep").alias("rep"))
     top = stored(top, "roots")
+    drop_stored(links, *rounds)
     smallest = top.groupBy("rep").agg(F.min("u").alias("group_id"))
     return top.join(smallest, "rep").select(F.col("u").alias("id"), "group_id")
 
