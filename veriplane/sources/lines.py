@@ -69,12 +69,15 @@ def tagged(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def write_sections(sections: list[tuple[str, DataFrame]], path: str) -> None:
-    """Tables as tagged lines in one folder: the files in the order of their names hold the sections in the given order."""
+    """Tables as tagged lines in one folder: the files in the order of their names hold the sections in the given order.
+
+    Ranges are over section and a hash of the line, so a large section is spread over many files.
+    """
     parts = [tagged(rows, kind).withColumn("section", F.lit(n)) for n, (kind, rows) in enumerate(sections)]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    out.repartitionByRange("section").sortWithinPartitions("section").select("value").write.text(path)
+    out.repartitionByRange("section", F.xxhash64("value")).sortWithinPartitions("section").select("value").write.text(path)
 
 
 def write_graph(tables: dict[str, DataFrame], path: str) -> None:
