@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, neighbours, organization, person, slip, sparse_assignment
+from veriplane.llm.crossmatch import assign, best_assignment, clean, match_parties, neighbours, organization, person, slip, sparse_assignment, usual_readings
 
 OWNER = "owner_pac_id string, owner_name string, owner_state string, owner_type string, name string, form string"
 EXCL = "row_id long, person_or_entity_name string, state string, npi string, name string, party string"
@@ -22,6 +22,14 @@ def test_parsing():
     assert slip("MARTHA", "MARHTA") and slip("ABCD", "ABD") and slip("ABCD", "ABXD") and not slip("ABCD", "AXYD")
 
 
+def test_usual_readings():
+    spellings = [("DOE, ANN MARIE", "I", "HI", 3), ("DOE, ANN", "I", "HI", 9), ("DEO, ANN", "I", "CA", 2), ("DOE, A", "I", None, 5), ("UNKNOWN", "O", "TX", 1)]
+    assert usual_readings(spellings) == [(False, "", "DOE", "ANN", "MARIE", "", "HI")]
+    assert [r[2:4] for r in usual_readings([("ANN DOE", None, None, 1)])] == [("ANN", "DOE"), ("DOE", "ANN")]
+    assert usual_readings([("ACME HOSPICE LLC", None, None, 1), ("ACME HOME HOSPICE", "O", "NY", 1)]) == [(True, "ACME", "", "", "", "HOSPICE", "NY")]
+    assert usual_readings([]) == usual_readings([("NONE", "O", None, 4), ("", "I", None, 1)]) == []
+
+
 def test_people_and_organizations(spark):
     owners = [
         ("1", "VELNOGOCOR, SILFIL ANVIN", "HI", "I"), ("1", "VELNOGOCOR, SILFIL A", "HI", "I"), ("2", "RAFALAVANE, NELUN", "TX", "I"), ("3", "DESNUJESAN SUMMIT HOLLOW PHARMACY INC", "GU", "O"),
@@ -71,6 +79,23 @@ def test_hot_names_lose_nothing(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_slips_and_initials_among_ten_thousand_neighbours(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(n))
+    firsts = sorted({word(rng.randint(5, 9)) for _ in range(10_000)})
+    rows = {("SMITH", f): [i % 2 == 0, i % 2 == 1] for i, f in enumerate(firsts)}
+    want = set()
+    for n, f in enumerate(firsts[:120:2]):  # even ones are owners'
+        i = rng.randrange(len(f))
+        other = [("SMITH", f[:i] + "Z" + f[i + 1 :]), ("SMITH", f[:i] + "ZZ" + f[i:]), ("SMITH", f[0]), ("SMYTH", f)][n % 4]
+        rows.setdefault(other, [False, True])[1] = True
+        want.add((("SMITH", f), other))
+    rows |= {("SMITH", "QQQQQZ"): [True, False], ("SMYTHE", "QQQQQY"): [False, True]}  # slips in both parts are too far
+    names = spark.createDataFrame([(False, *k, *v) for k, v in rows.items()], "org boolean, lead string, second string, is_o boolean, is_x boolean")
+    got = {((r.lead, r.second), (r.x_lead, r.x_second)) for r in neighbours(names, 64).collect()}
+    assert want <= got and (("SMITH", "QQQQQZ"), ("SMYTHE", "QQQQQY")) not in got
+
+
 def test_empty(spark):
     assert matched(spark, [], []) == set()
     assert matched(spark, [("1", "A B", None, "I")], []) == set()

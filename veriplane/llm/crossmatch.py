@@ -32,6 +32,9 @@ SHORT_WORDS = {
 TITLES = set("JR SR II III IV MD DDS DMD DO RN LPN NP PHD PSYD DC OD DPM PT ESQ MR MRS MS DR".split())
 FILLERS = set("NONE NA UNKNOWN TBD TEST".split())
 
+#: In a run of o names of one side and x of the other all o * x pairs are compared if that is at most so many for each name.
+_FEW = 16
+
 _TAIL = re.compile(r"\b(?:AKA|FKA|NKA|DBA|A/K/A|F/K/A|D/B/A)\b.*$")
 
 
@@ -107,29 +110,29 @@ def person(text: str) -> list[tuple[str, str, str, bool]]:
 _READING = "org boolean, core string, lead string, second string, middle string, kind string, comma boolean, reading int"
 
 
-def read_names(rows: DataFrame) -> DataFrame:
-    """``rows`` (with name and given type) with their readings.
+def readings(name: str, given: str | None) -> list[tuple]:
+    """The readings of a name, with the columns of ``_READING``; none of a filler.
 
     A person's reading has lead (surname), second (first name) and middle; an organization's has
     core (its proper words in alphabetical order) and kind, its lead comes later.
     """
+    text = clean(name)
+    if is_organization(text, given):
+        core, kind = organization(text)
+        return [(True, " ".join(sorted(set(core))), "", "", "", kind, False, 0)] if core and not set(core) <= FILLERS else []
+    return [(False, "", surname, first, middle, "", comma, n) for n, (surname, first, middle, comma) in enumerate(person(text))]
+
+
+def read_names(rows: DataFrame) -> DataFrame:
+    """``rows`` (with name and given type) with their readings."""
     ship(rows.sparkSession)
     others = [c for c in rows.columns if c not in ("name", "given")]
     columns = [*others, *[x.split()[0] for x in _READING.split(", ")]]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for name, given, rest in zip(batch["name"], batch["given"], batch[others].itertuples(index=False, name=None)):
-                text = clean(name)
-                if is_organization(text, given):
-                    core, kind = organization(text)
-                    if core and not set(core) <= FILLERS:
-                        out.append((*rest, True, " ".join(sorted(set(core))), "", "", "", kind, False, 0))
-                else:
-                    for n, (surname, first, middle, comma) in enumerate(person(text)):
-                        out.append((*rest, False, "", surname, first, middle, "", comma, n))
-            yield pd.DataFrame(out, columns=columns)
+            rest = batch[others].itertuples(index=False, name=None)
+            yield pd.DataFrame([(*r, *reading) for name, given, r in zip(batch["name"], batch["given"], rest) for reading in readings(name, given)], columns=columns)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in others)
     return rows.mapInPandas(parse, f"{kept}, {_READING}")
@@ -147,27 +150,27 @@ def telling_words(cores: DataFrame) -> DataFrame:
     return rare.select("core", "lead", F.array_join(F.array_remove(F.split("core", " "), F.col("lead")), " ").alias("second"))
 
 
-def _pieces(text: Column) -> Column:
-    """Codes of the three parts of a text; one of them is among the ``_probes`` of any text within two edits of it."""
+def _pieces(run: Column, text: Column) -> Column:
+    """Codes of the three parts of a text in a run; one of them is among the ``_probes`` of any text there within two edits of it."""
     n = F.length(text)
     one, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
     return F.array(
-        F.xxhash64(F.lit(1), n, F.substring(text, F.lit(1), one)),
-        F.xxhash64(F.lit(2), n, F.substring(text, one + 1, two - one)),
-        F.xxhash64(F.lit(3), n, F.substring(text, two + 1, n - two)),
+        F.xxhash64(run, F.lit(1), n, F.substring(text, F.lit(1), one)),
+        F.xxhash64(run, F.lit(2), n, F.substring(text, one + 1, two - one)),
+        F.xxhash64(run, F.lit(3), n, F.substring(text, two + 1, n - two)),
     )
 
 
-def _probes(text: Column) -> Column:
-    """Codes of the places where a text can hold a part of another that is within two edits of it, by the other's length."""
+def _probes(run: Column, text: Column) -> Column:
+    """Codes of the places where a text can hold a part of another that is within two edits of it, by the other's length; null where there is none."""
     out = []
     for more in range(-2, 3):  # characters that this text has more
         n = F.length(text) - more
         one, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
         fits = (n >= 3) & (F.greatest(n, F.length(text)) >= 5)
         places = [(1, F.lit(1), one), *[(2, one + 1 + d, two - one) for d in range(max(-1, more - 1), min(1, more + 1) + 1)], (3, two + 1 + more, n - two)]
-        out += [F.when(fits, F.xxhash64(F.lit(part), n, F.substring(text, start, size))) for part, start, size in places]
-    return F.array_compact(F.array(*out))
+        out += [F.when(fits, F.xxhash64(run, F.lit(part), n, F.substring(text, start, size))) for part, start, size in places]
+    return F.array(*out)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -180,99 +183,126 @@ def _initial(a: Column, b: Column) -> Column:
     return ((F.length(a) == 1) | (F.length(b) == 1)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1))
 
 
-def neighbours(names: DataFrame, window: int, block: int = 4096) -> DataFrame:
+def neighbours(names: DataFrame, window: int) -> DataFrame:
     """Similar names of the two sides: ``(org, lead, second)`` of an owner and ``(x_lead, x_second)``, with similarities.
 
     ``names`` has org, lead, second, is_o, is_x; each name occurs once. Names are similar if one part is equal and the
-    other alike or, under an equal lead, shortened to its initial. Runs of names with an equal part are found by two
-    composite keys, lead before second and second before lead. The names of runs of up to ``window`` are
-    range-partitioned, sorted and ranked by the key, and names less than ``window`` ranks apart compared; of longer
-    runs, whatever their length, the names are joined exactly (see ``_long_runs``). The windows slide within blocks of
-    ``block`` ranks that overlap by a window, so every task gets its share whatever the keys are.
+    other alike or, under an equal lead, shortened to its initial; names with slips in both parts are not. Names are
+    sorted by two composite keys, lead before second and second before lead, so those with an equal part stand
+    in one run, and a window slides over the runs: names less than ``window`` ranks apart are compared. In runs longer than
+    that, whatever their length, no pair is lost either: where the names of one side are few, each meets all of the
+    other; in the rest names are joined exactly on pieces of the other part (see ``_long_runs``).
     """
-    keyed, pairs = [], names.where("is_o and is_x").select("org", "lead", "second", F.col("lead").alias("x_lead"), F.col("second").alias("x_second"))
-    for nth, (part, other) in enumerate((("lead", "second"), ("second", "lead"))):
-        runs = names.groupBy("org", part).agg(F.count("*").alias("n"), F.max("is_o").alias("o"), F.max("is_x").alias("x"))
-        runs = names.join(runs.where("o and x and n > 1").select("org", part, (F.col("n") > window).alias("long")), ["org", part])
-        runs = stored(runs.select("org", "lead", "second", "is_o", "is_x", "long"), f"runs-{part}")
-        kind = F.when(F.col("org"), "o").otherwise("p")
-        keyed.append(runs.where("not long").select("org", "lead", "second", "is_o", "is_x", F.concat(F.lit(nth), kind, part, F.lit("|"), other).alias("key")))
-        pairs = pairs.unionByName(_long_runs(runs.where("long"), part, other))
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed[0].unionByName(keyed[1]).repartitionByRange(parts, "key").sortWithinPartitions("key").drop("key")
-    ordered = stored(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "sorted")
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
-    ranked = ordered.join(sizes.select("part", before.alias("before")), "part").select("org", "lead", "second", "is_o", "is_x", rank.alias("rank"))
-    at = F.floor(F.col("rank") / block)
-    blocks = F.array_compact(F.array(at, F.when(F.col("rank") % block < window - 1, at - 1)))
-    slid = ranked.select("*", F.explode(blocks).alias("block"))
-    w = Window.partitionBy("block").orderBy("rank")
-    one = F.struct("org", "lead", "second", "is_o", "is_x")
-    ahead = slid.select(one.alias("n"), *[F.lead(one, j).over(w).alias(f"m{j}") for j in range(1, window)])
-    # one of the two parts must be equal; tested before anything is expanded
-    cheap = "n.org = {m}.org and ((n.is_o and {m}.is_x) or (n.is_x and {m}.is_o)) and (n.lead = {m}.lead or n.second = {m}.second)"
-    close = [F.when(F.expr(cheap.format(m=f"m{j}")), F.col(f"m{j}")) for j in range(1, window)]
-    two = ahead.select("n", F.explode(F.array_compact(F.array(*close))).alias("m"))
+    names = stored(names.select("org", "lead", "second", "is_o", "is_x", F.monotonically_increasing_id().alias("nid")), "names")
+    key = lambda first, part, other: F.struct(F.lit(first).alias("by_lead"), F.xxhash64(F.lit(first), "org", part).alias("run"), F.col(other).alias("other"))
+    keyed = names.select("nid", "org", "is_o", "is_x", F.explode(F.array(key(True, "lead", "second"), key(False, "second", "lead"))).alias("k")).select("nid", "org", "is_o", "is_x", "k.*")
+    runs = keyed.groupBy("run").agg(F.count("*").alias("n"), F.count_if("is_o").alias("o"), F.count_if("is_x").alias("x")).where("o > 0 and x > 0 and n > 1")
+    how = F.when(F.col("n") <= window, "window").when(F.col("o") * F.col("x") <= _FEW * (F.col("o") + F.col("x")), "few").otherwise("pieces")
+    runs = stored(keyed.join(runs.select("run", how.alias("how")), "run"), "runs")
+    similar = lambda a, b: (_alike(a, b) > 0) | (F.col("by_lead") & ~F.col("org") & _initial(a, b))
+
+    order = Window.partitionBy("run").orderBy("other", "nid")
+    one = F.struct("nid", "other", "is_o", "is_x")
+    ahead = runs.where("how = 'window'").select("org", "by_lead", one.alias("n"), F.array(*[F.lead(one, j).over(order) for j in range(1, window)]).alias("m"))
+    two = ahead.select("org", "by_lead", "n", F.explode("m").alias("m")).where(F.col("m").isNotNull() & similar(F.col("n.other"), F.col("m.other")))
     # either may be the owner's
-    sides = F.array_compact(F.array(F.when(F.col("n.is_o") & F.col("m.is_x"), F.struct(F.col("n").alias("o"), F.col("m").alias("x"))), F.when(F.col("m.is_o") & F.col("n.is_x"), F.struct(F.col("m").alias("o"), F.col("n").alias("x")))))
-    slid_pairs = two.select(F.explode(sides).alias("s")).select(
-        F.col("s.o.org").alias("org"), F.col("s.o.lead").alias("lead"), F.col("s.o.second").alias("second"), F.col("s.x.lead").alias("x_lead"), F.col("s.x.second").alias("x_second")
-    )
+    sides = [(F.col(f"{a}.is_o") & F.col(f"{b}.is_x"), F.struct(F.col(f"{a}.nid").alias("o_nid"), F.col(f"{b}.nid").alias("x_nid"))) for a, b in ("nm", "mn")]
+    slid = two.select(F.inline(F.array_compact(F.array(*[F.when(ok, pair) for ok, pair in sides]))))
+
+    mine = lambda how: runs.where(F.col("how") == how).where("is_o").select("run", "org", "by_lead", F.col("nid").alias("o_nid"), "other")
+    theirs = lambda how: runs.where(F.col("how") == how).where("is_x").select("run", F.col("nid").alias("x_nid"), F.col("other").alias("x_other"), *([] if how == "few" else ["org", "by_lead"]))
+    few = mine("few").join(theirs("few"), "run").where(similar(F.col("other"), F.col("x_other"))).select("o_nid", "x_nid")
+    same = names.where("is_o and is_x").select(F.col("nid").alias("o_nid"), F.col("nid").alias("x_nid"))
+    found = same.unionByName(slid).unionByName(few).unionByName(_long_runs(mine("pieces"), theirs("pieces"))).distinct()
+    pairs = found.join(names.select(F.col("nid").alias("o_nid"), "org", "lead", "second"), "o_nid").join(names.select(F.col("nid").alias("x_nid"), F.col("lead").alias("x_lead"), F.col("second").alias("x_second")), "x_nid")
     short = ~F.col("org") & _initial(F.col("second"), F.col("x_second"))
-    pairs = pairs.unionByName(slid_pairs)
     second = F.when(F.col("second") == F.col("x_second"), 1.0).when(short & (F.col("lead") == F.col("x_lead")), 0.8).otherwise(_alike(F.col("second"), F.col("x_second")))
-    scored = pairs.select("*", _alike(F.col("lead"), F.col("x_lead")).alias("lead_sim"), second.alias("second_sim")).where("lead_sim > 0 and second_sim > 0")
-    return scored.distinct()
+    scored = pairs.select("org", "lead", "second", "x_lead", "x_second", _alike(F.col("lead"), F.col("x_lead")).alias("lead_sim"), second.alias("second_sim"))
+    return scored.where("(lead = x_lead or second = x_second) and lead_sim > 0 and second_sim > 0")
 
 
-def _long_runs(names: DataFrame, part: str, other: str) -> DataFrame:
-    """Pairs of an owner's and an exclusion's name with equal ``part`` and alike ``other``, or its initial if that is a first name.
+def _long_runs(o: DataFrame, x: DataFrame) -> DataFrame:
+    """Pairs of an owner's and an exclusion's name in one run whose other parts are alike, or the one's initial if that is a first name.
 
-    Two edits leave one of three parts of a text whole, so names are joined on the parts, not with their whole run.
+    Two edits leave one of three parts of a text whole, so names are joined on the parts, not with their whole
+    run. The join is on one number, a code of run and part; the texts are compared where they meet.
     """
-    o = names.where("is_o").select("org", part, other)
-    x = names.where("is_x").select("org", part, F.col(other).alias(f"x_{other}"))
-    both = lambda left, right, key: left.join(right, ["org", part, key]).drop(key)
-    parts = both(o.select("*", F.explode(_probes(F.col(other))).alias("code")), x.where(F.length(f"x_{other}") >= 3).select("*", F.explode(_pieces(F.col(f"x_{other}"))).alias("code")), "code")
-    pairs = parts.where(_alike(F.col(other), F.col(f"x_{other}")) > 0)
-    if part == "lead":
-        first = lambda side, c: side.where("not org").withColumn("first", F.substring(c, 1, 1))
-        mine, theirs = first(o, "second"), first(x, "x_second")
-        initial = both(mine.where("length(second) = 1"), theirs, "first").unionByName(both(mine, theirs.where("length(x_second) = 1"), "first"))
-        pairs = pairs.unionByName(initial)
-    return pairs.select("org", "lead", "second", *[(F.col(f"x_{c}") if c == other else F.col(c)).alias(f"x_{c}") for c in ("lead", "second")])
+    text, other = F.col("other"), F.col("x_other")
+    mine = o.select("o_nid", "other", F.explode(_probes(F.col("run"), text)).alias("code")).where("code is not null")
+    theirs = x.where(F.length(other) >= 3).select("x_nid", "x_other", F.explode(_pieces(F.col("run"), other)).alias("code"))
+    pairs = mine.join(theirs, "code").where(_alike(text, other) > 0).select("o_nid", "x_nid")
+    first = lambda side, c: side.where("by_lead and not org").withColumn("code", F.xxhash64("run", F.substring(c, 1, 1))).drop("run", "org", "by_lead")
+    mine, theirs = first(o, "other"), first(x, "x_other")
+    for a, b in ((mine.where(F.length(text) == 1), theirs), (mine, theirs.where(F.length(other) == 1))):
+        pairs = pairs.unionByName(a.join(b, "code").where(_initial(text, other)).select("o_nid", "x_nid"))
+    return pairs
+
+
+def usual_readings(spellings: list[tuple[str, str | None, str | None, int]]) -> list[tuple]:
+    """The most frequent reading ``(org, core, lead, second, middle, kind, state)`` of an owner's spellings (name, given type, state, rows); two where the surname is unsure.
+
+    A reading with a comma counts twice as much, one with a whole first name too. State and kind are the most frequent
+    ones. A middle name may only be given with a slip or an initial of the first name, so there the surname decides.
+    """
+    found: dict[tuple, list] = {}
+    states: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    for name, given, state, n in spellings:
+        for org, core, lead, second, middle, kind, comma, reading in readings(name, given):
+            seen = found.setdefault((org, core, lead, second, middle), [0, reading, False])
+            seen[0], seen[1], seen[2] = seen[0] + n, min(seen[1], reading), seen[2] or comma
+            if state is not None:
+                states[state] = states.get(state, 0) + n
+            if kind:
+                kinds[kind] = kinds.get(kind, 0) + n
+    counted: dict[tuple, list] = {}
+    by_lead: dict[str, tuple] = {}
+    for (org, core, lead, second, middle), (n, reading, comma) in found.items():
+        whole = counted.setdefault((org, core, lead, second), [0, reading, False, (False, 0, "")])
+        whole[0] += n * (4 if comma else 2) * (1 if len(second) == 1 else 2)
+        whole[1], whole[2] = min(whole[1], reading), whole[2] or comma
+        if middle:
+            rank = (len(middle) > 1, n, middle)
+            whole[3], by_lead[lead] = max(whole[3], rank), max(by_lead.get(lead, rank), rank)
+    sure = any(comma or key[0] for key, (_, _, comma, _) in counted.items())
+    best = sorted(counted, key=lambda k: (-counted[k][0], counted[k][1], *k[1:]))[: 1 if sure else 2]
+    usual = lambda counts: max(counts, key=lambda v: (counts[v], v), default=None)
+    out = []
+    for org, core, lead, second in best:
+        middle = counted[org, core, lead, second][3][2]
+        middle = middle if len(middle) > 1 else by_lead.get(lead, (0, 0, ""))[2]
+        out.append((org, core, lead, second, "" if org else middle, usual(kinds) or "", usual(states)))
+    return out
 
 
 def owner_entries(owners: DataFrame) -> DataFrame:
-    """One row per owner id (two where its surname is unsure): its most frequent reading, full middle name, kind and state."""
+    """One row per owner id (two where its surname is unsure) with its usual reading; see ``usual_readings``.
+
+    Equal spellings are counted before an owner's come together, so an owner with a third of all rows brings its
+    different spellings only. They are read and weighed in one pass over rows in the order of owners.
+    """
+    ship(owners.sparkSession)
     rows = (
         owners.where("owner_pac_id is not null and trim(owner_pac_id) <> '' and owner_name is not null")
         .select(F.col("owner_pac_id").alias("owner"), F.col("owner_name").alias("name"), F.col("owner_type").alias("given"), state_code(F.col("owner_state")).alias("state"))
         .groupBy("owner", "name", "given", "state").agg(F.count("*").alias("n"))
     )
-    read = stored(read_names(rows), "owner-readings")
-    spelled = read.groupBy("owner", "org", "core", "lead", "second", "middle").agg(F.sum("n").alias("n"), F.min("reading").alias("reading"), F.max("comma").alias("comma"))
-    weight = F.sum(F.col("n") * F.when(F.col("comma"), 4).otherwise(2) * F.when(F.length("second") == 1, 1).otherwise(2))
-    counted = spelled.groupBy("owner", "org", "core", "lead", "second").agg(
-        weight.alias("n"), F.min("reading").alias("reading"), F.max("comma").alias("comma"),
-        F.max(F.when(F.col("middle") != "", F.struct((F.length("middle") > 1).alias("f"), "n", "middle")))["middle"].alias("middle"),
-    )
-    order = Window.partitionBy("owner").orderBy(F.desc("n"), "reading", "core", "lead", "second")  # distinct readings, however many rows
-    ranked = counted.withColumns({"nth": F.row_number().over(order), "sure": F.max(F.col("comma") | F.col("org")).over(Window.partitionBy("owner"))})
-    best = ranked.where("nth = 1 or (nth = 2 and not sure)")
-    # the middle name may only be given with a slip or an initial of the first name, so the surname decides
-    pick = F.max(F.when(F.col("middle") != "", F.struct((F.length("middle") > 1).alias("f"), "n", "middle")))["middle"]
-    by_lead = spelled.groupBy("owner", "lead").agg(pick.alias("by_lead"))
-    values = F.array(F.struct(F.lit("state").alias("what"), F.col("state").alias("value")), F.struct(F.lit("kind").alias("what"), F.when(F.col("kind") != "", F.col("kind")).alias("value")))
-    usual = (
-        read.select("owner", "n", F.explode(values).alias("v")).where("v.value is not null").groupBy("owner", "v").agg(F.sum("n").alias("n"))
-        .groupBy("owner").agg(*[F.max(F.when(F.col("v.what") == x, F.struct("n", "v.value")))["value"].alias(x) for x in ("state", "kind")])
-    )
-    joined = best.join(by_lead, ["owner", "lead"], "left").join(usual, "owner", "left")
-    middle = F.when(F.length("middle") > 1, F.col("middle")).otherwise(F.coalesce("by_lead", F.lit("")))
-    return joined.select("owner", "org", "core", "lead", "second", F.when(F.col("org"), "").otherwise(middle).alias("middle"), F.coalesce("kind", F.lit("")).alias("kind"), "state")
+    columns = ["owner", "org", "core", "lead", "second", "middle", "kind", "state"]
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, spellings = None, []
+        for batch in batches:
+            out = []
+            for mine, *spelling in batch[["owner", "name", "given", "state", "n"]].itertuples(index=False, name=None):
+                if mine != owner:
+                    out += [(owner, *r) for r in usual_readings(spellings)]
+                    owner, spellings = mine, []
+                spellings.append(spelling)
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(owner, *r) for r in usual_readings(spellings)], columns=columns)
+
+    kind = rows.schema["owner"].dataType.simpleString()
+    return rows.repartition("owner").sortWithinPartitions("owner").mapInPandas(choose, f"owner {kind}, org boolean, core string, lead string, second string, middle string, kind string, state string")
 
 
 def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, least: float = 0.75) -> DataFrame:
@@ -295,7 +325,7 @@ def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, lea
 
     Scale: an owner with a third of all rows is one entry, and rows of equal name, state and number are one
     form, before anything is compared; the comparisons are at most twice ``window`` per distinct name, and in
-    longer runs those of names with an equal part of the differing word.
+    longer runs a bounded number or those of names with an equal piece of the differing word.
     """
     number = F.when(valid_npi(F.col("npi")), F.trim("npi"))
     excluded = exclusions.where("row_id is not null and person_or_entity_name is not null").select(
@@ -311,7 +341,7 @@ def match_parties(owners: DataFrame, exclusions: DataFrame, window: int = 6, lea
     led = lambda side: side.where(~F.col("org")).unionByName(side.where("org").drop("lead", "second").join(leads, "core"), allowMissingColumns=True).drop("core")
     x, o = led(x), led(o)
     flags = o.select("org", "lead", "second", F.lit(True).alias("is_o"), F.lit(False).alias("is_x")).unionByName(x.select("org", "lead", "second", F.lit(False).alias("is_o"), F.lit(True).alias("is_x")))
-    names = stored(flags.groupBy("org", "lead", "second").agg(F.max("is_o").alias("is_o"), F.max("is_x").alias("is_x")), "names")
+    names = flags.groupBy("org", "lead", "second").agg(F.max("is_o").alias("is_o"), F.max("is_x").alias("is_x"))
     near = stored(neighbours(names, window), "near")
 
     # candidates: an owner, and a form read like it
