@@ -10,7 +10,7 @@ from veriplane.llm.addresses import locate, same_places
 from veriplane.llm.crossmatch import match_parties
 from veriplane.llm.groups import link_groups
 from veriplane.llm.leaks import find_leaks
-from veriplane.llm.packing import pack_documents
+from veriplane.llm.packing import TOKENIZER, pack_documents
 from veriplane.llm.spans import SharedSpans
 from veriplane.llm.survivors import FILLER_WORDS, judged_values, surviving_fields
 from veriplane.runtime import table
@@ -50,8 +50,8 @@ def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text, or piece of one above the capacity, with its container of 2,048 tokens."""
-    return pack_documents(table(spark, folder, "documents"), 2048)
+    """Every text, or piece of one above the capacity, with its container of 2,048 tokens of the tokenizer that spark.veriplane.tokenizer names."""
+    return pack_documents(table(spark, folder, "documents"), 2048, spark.conf.get("spark.veriplane.tokenizer", TOKENIZER))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
