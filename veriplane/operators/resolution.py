@@ -25,30 +25,26 @@ def anchor_edges(records: DataFrame) -> DataFrame:
 
 
 def _scored(records: DataFrame, max_block: int) -> DataFrame:
-    """``(i, j, raw, signals)``: see ``pair_scores``; the score is not rounded.
-
-    The features travel with the keys and pairs are scored where they meet, so that neither pairs nor
-    their features are shuffled; a pair that meets in several blocks is made one after scoring, when few are left.
-    """
+    """``(i, j, raw, signals)``: see ``pair_scores``; the score is not rounded."""
     rec = features(records)
-    keyed = rec.select("idx", "norm", "npi", "state", "words", "phon", F.explode("phon").alias("key"))
+    keyed = rec.select("idx", F.explode("phon").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_block)).select("key")
     keyed = keyed.join(sizes, "key")
-    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("idx", "norm", "npi", "state", "words", "phon")])
-    both = side("i").join(side("j"), "key").where("idx_i < idx_j and norm_i <> norm_j and not (npi_i is not null and npi_j is not null and npi_i <> npi_j)")
-    bonus = F.when(F.lower("state_i") == F.lower("state_j"), 0.05).otherwise(0.0)
-    lengths = [F.length("norm_i"), F.length("norm_j")]
-    # the edit part is at most the ratio of the lengths, token and phonetic parts at most 0.25 and 0.15
-    near = both.where(0.6 * F.least(*lengths) / F.greatest(*lengths) + 0.4 + bonus >= REVIEW)
-    cheap = near.select(
-        F.col("idx_i").alias("i"), F.col("idx_j").alias("j"), "norm_i", "norm_j",
-        token_similarity(F.col("words_i"), F.col("words_j")).alias("token"), jaccard(F.col("phon_i"), F.col("phon_j")).alias("phonetic"), bonus.alias("bonus"),
-    ).where(0.6 * F.least(*lengths) / F.greatest(*lengths) + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus") >= REVIEW - 1e-9)
+    pairs = keyed.withColumnRenamed("idx", "i").join(keyed.withColumnRenamed("idx", "j"), "key").where("i < j").select("i", "j").distinct()
+    side = lambda s: rec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("idx", "norm", "npi", "state", "words", "phon")])
+    both = pairs.join(side("i"), F.col("i") == F.col("idx_i")).join(side("j"), F.col("j") == F.col("idx_j"))
+    both = both.where("norm_i <> norm_j and not (npi_i is not null and npi_j is not null and npi_i <> npi_j)")
+    cheap = both.select(
+        "i", "j", "norm_i", "norm_j",
+        token_similarity(F.col("words_i"), F.col("words_j")).alias("token"),
+        jaccard(F.col("phon_i"), F.col("phon_j")).alias("phonetic"),
+        F.when(F.lower("state_i") == F.lower("state_j"), 0.05).otherwise(0.0).alias("bonus"),
+    ).where(0.6 + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus") >= REVIEW)
     scored = cheap.withColumn("edit", edit_similarity(F.col("norm_i"), F.col("norm_j")))
     score = F.least(F.lit(1.0), 0.6 * F.col("edit") + 0.25 * F.col("token") + 0.15 * F.col("phonetic") + F.col("bonus"))
     fired = [("edit", 0.6, "name_edit_distance"), ("token", 0.5, "name_token_overlap"), ("phonetic", 0.5, "name_phonetic"), ("bonus", 0.0, "state_match")]
     signals = F.array_compact(F.array(*[F.when(F.col(c) > least, name) for c, least, name in fired]))
-    return scored.select("i", "j", score.alias("raw"), signals.alias("signals")).where(F.col("raw") >= REVIEW).dropDuplicates(["i", "j"])
+    return scored.select("i", "j", score.alias("raw"), signals.alias("signals")).where(F.col("raw") >= REVIEW)
 
 
 def pair_scores(records: DataFrame, max_block: int = 400) -> DataFrame:
@@ -65,8 +61,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     A round is one job; what moved is counted as the labels are written.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))  # the edges are computed once
+    both = stored(one.select(F.inline(ways)).distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels")
     while True:
         heard = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
